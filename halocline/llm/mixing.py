@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from halocline.llm._common import Table
 
 PERIOD = 1 << 14
-BLOCK_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 13
 ALPHA = 0.9
 CHUNK_ROWS = 4096
 NULL_SOURCE = "\x00null"
