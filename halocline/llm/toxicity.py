@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 1. Voters. A bounded sample of labelled rows (at most about SAMPLE_ROWS of each label, chosen by a hash of the id)
-   yields a lexicon: words and word beginnings that occur in several toxic documents and hardly in others. Each entry is
-   a voter that votes toxic or abstains. Further voters look at patterns (shouting, density of rare beginnings), and one
+   yields a lexicon: words and word beginnings that occur in several toxic documents (copies count once) and hardly in
+   others. Each entry is a voter that votes toxic or abstains. A pattern voter votes toxic on repeated matches, and one
    votes clean when no entry matches.
 2. Generative label model. Voters' accuracies are estimated from how they agree with each other and with the known
    labels, by expectation maximisation; voters that agree with each other beyond what the model explains are
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +34,8 @@ from halocline.llm._common import whole_text_batches
 SAMPLE_ROWS = 4000
 #: Letters of word beginnings; 0 stands for whole words.
 STEMS = (0, 4, 5, 6)
-MIN_DOCS = 6
+#: Sets of near copies (of the sample's toxic documents) with a lexicon entry, at least; and their share of all sets.
+MIN_SETS, MIN_SHARE = 3, 0.01
 #: A lexicon entry occurs this many times as often in toxic documents as in others, at least.
 MIN_RATIO = 20.0
 LEXICON = 400
@@ -78,23 +80,34 @@ def matches(text: str, lexicon: dict[tuple[int, str], int]) -> tuple[set[int], i
 
 
 def features(text: str, lexicon: dict[tuple[int, str], int]) -> np.ndarray:
+    return _features(text, *matches(text, lexicon))
+
+
+def _features(text: str, found: set[int], hits: int, n: int) -> np.ndarray:
     """Intercept; any match; log of matching words; of different entries; share of matching words; shouting."""
-    found, hits, n = matches(text, lexicon)
     shout = min(1.0, text.count("!") / max(n, 1))
     return np.array([1.0, float(bool(found)), np.log1p(hits), np.log1p(len(found)), min(1.0, 20 * hits / max(n, 1)), shout])
 
 
+def _copies_key(text: str) -> int:
+    """Nearly equal texts mostly share it: the least hash of a word."""
+    return min((zlib.crc32(w.encode()) for w in set(WORD.findall(text.lower()))), default=0)
+
+
 def find_lexicon(toxic: list[str], clean: list[str]) -> dict[tuple[int, str], int]:
     """Entries -> voter numbers, most telling first; an entry that a shorter one covers is left out."""
     pos, neg = Counter(), Counter()
+    sets: dict[int, set] = {}
     for t in toxic:
-        pos.update(terms(t))
+        sets.setdefault(_copies_key(t), set()).update(terms(t))
+    for found in sets.values():
+        pos.update(found)
     for t in clean:
         neg.update(terms(t))
     scored = []
     for term, n in pos.items():
-        if n >= MIN_DOCS:
-            ratio = ((n + 0.5) / (len(toxic) + 1)) / ((neg[term] + 0.5) / (len(clean) + 1))
+        if n >= max(MIN_SETS, MIN_SHARE * len(sets)):
+            ratio = ((n + 0.5) / (len(sets) + 1)) / ((neg[term] + 0.5) / (len(clean) + 1))
             if ratio >= MIN_RATIO and neg[term] <= 0.02 * n:
                 scored.append((-n, term[0] or 99, term[1]))
     out: dict[tuple[int, str], int] = {}
@@ -137,13 +150,12 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft targets, by Newton steps; both classes weigh the same."""
-    heavy = np.where(target >= 0.5, 0.5 / max(target.sum(), 1e-9), 0.5 / max((1 - target).sum(), 1e-9)) * len(target)
+    """Logistic regression on soft targets, by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (heavy * (p - target)) + ridge * len(target) * w / 10
-        hess = (x * (heavy * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * len(target) / 10 * np.eye(len(w))
+        grad = x.T @ (p - target) + ridge * len(target) * w / 10
+        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * len(target) / 10 * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-7:
@@ -159,13 +171,15 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     toxic, clean = ([t for t, y in zip(texts, labels, strict=True) if y == v] for v in (1, 0))
     lexicon = find_lexicon(toxic, clean)
     votes = np.zeros((len(texts), len(lexicon) + 2), dtype=np.int8)
+    x = np.zeros((len(texts), 6))
     for i, t in enumerate(texts):
         found, hits, n = matches(t, lexicon)
+        x[i] = _features(t, found, hits, n)
         votes[i, list(found)] = 1
         votes[i, -2] = 1 if hits >= 2 else 0
         votes[i, -1] = 0 if found else -1
     posterior, _ = label_model(votes, known)
-    return ToxicityModel(lexicon, fit_linear(np.stack([features(t, lexicon) for t in texts]), posterior))
+    return ToxicityModel(lexicon, fit_linear(x, posterior))
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> ToxicityModel:
