@@ -69,8 +69,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     held_out = langid.crc_remainder("doc_id", 5) == 0
-    labelled = docs.select("doc_id", "text").join(labels.where(~held_out).select("doc_id", "toxic"), "doc_id")
-    model = toxicity.learn(labelled)
+    model = toxicity.learn(docs, labels.where(~held_out))
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

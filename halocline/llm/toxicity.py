@@ -182,15 +182,19 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     return ToxicityModel(lexicon, fit_linear(x, posterior))
 
 
-def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> ToxicityModel:
-    """A model from at most about ``sample`` rows of each label; rows with other labels than 0 and 1 are left out."""
-    rows = rows.where(F.col(label_col).isin(0, 1))
-    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> ToxicityModel:
+    """A model from at most about ``sample`` rows of each label; rows with other labels than 0 and 1 are left out.
+
+    The sample is drawn from the narrow ``labels`` and, being bounded, broadcast to ``docs``: no text is shuffled.
+    """
+    labels = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_label"))
+    sizes = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("toxicity sample")), F.lit(1 << 30))
     chosen = F.lit(False)
     for label, n in sizes.items():
-        chosen = chosen | ((F.col(label_col) == label) & (draw < int(min(1.0, sample / n) * (1 << 30))))
-    got = sorted((r[0], r[1] or "", int(r[2])) for r in rows.where(chosen).select(id_col, text_col, label_col).toLocalIterator())
+        chosen = chosen | ((F.col("_label") == label) & (draw < int(min(1.0, sample / n) * (1 << 30))))
+    rows = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(labels.where(chosen)), id_col)
+    got = sorted((r[0], r[1] or "", r[2]) for r in rows.select(id_col, "_text", "_label").toLocalIterator())
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
