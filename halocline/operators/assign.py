@@ -69,10 +69,10 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
     if strategy in ("auto", "broadcast", "broadcastUDF", "chunked"):
         strategy = "expression" if k * d <= UNROLLED and strategy == "auto" else "arrow"
     if strategy == "expression":
-        out = df.withColumn("_d", distances(df, features, centres, div)).withColumn("_m", F.array_min("_d"))
-        found = F.coalesce(F.array_position("_d", F.col("_m")) - 1, F.lit(0)).cast("int")
+        out = df.withColumn("__all", distances(df, features, centres, div)).withColumn("__least", F.array_min("__all"))
+        found = F.coalesce(F.array_position("__all", F.col("__least")) - 1, F.lit(0)).cast("int")
         out = out.withColumn(cluster, found)
-        return (out.withColumn(distance, F.col("_m")) if distance else out).drop("_d", "_m")
+        return (out.withColumn(distance, F.col("__least")) if distance else out).drop("__all", "__least")
     if strategy == "arrow":
 
         @F.pandas_udf("struct<c:int,d:double>")

@@ -441,10 +441,14 @@ class View:
 def multiview_distances(df: DataFrame, views: list[View], centres: list[np.ndarray], combine: str = "weighted"):
     """Array column: the combined distance to every centre (sum, greatest or least of weighted views)."""
     total = sum(v.weight for v in views)
-    parts = [F.transform(distances(df, v.features, c, divergences.make(v.divergence)), lambda d, w=v.weight / total: d * w) for v, c in zip(views, centres, strict=True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = F.zip_with(out, p, {"weighted": lambda a, b: a + b, "max": F.greatest, "min": F.least}[combine])
+    join = {"weighted": lambda a, b: a + b, "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b)}[combine]
+
+    def weighed(view: View, own: np.ndarray):
+        return F.transform(distances(df, view.features, own, divergences.make(view.divergence)), lambda d: d * (view.weight / total))
+
+    out, *rest = [weighed(v, c) for v, c in zip(views, centres, strict=True)]
+    for part in rest:
+        out = F.zip_with(out, part, join)
     return out
 
 
