@@ -76,14 +76,19 @@ def _mix(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def fingerprint(text: str, size: int, words: int = 1) -> bytes:
-    """8 * words bytes, big-endian."""
+    """8 * words bytes, big-endian; one word counts repeated shingles, several take each shingle once (for Jaccard)."""
     counts, n = np.zeros((words, 64), dtype=np.int64), 0
-    for data in shingle_digests(text, size):
+    parts = shingle_digests(text, size)
+    if words > 1:
+        found = [np.unique(np.frombuffer(data, dtype=">u8").astype(np.uint64)) for data in parts]
+        base = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        parts = (base[at : at + SHINGLES_AT_ONCE].astype(">u8").tobytes() for at in range(0, len(base), SHINGLES_AT_ONCE))
+    for data in parts:
         raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 8)
         n += len(raw)
-        base = raw.view(">u8").ravel().astype(np.uint64) if words > 1 else None
+        hashes = raw.view(">u8").ravel().astype(np.uint64) if words > 1 else None
         for w in range(words):
-            own = raw if w == 0 else _mix(base, w).astype(">u8").view(np.uint8).reshape(-1, 8)
+            own = raw if w == 0 else _mix(hashes, w).astype(">u8").view(np.uint8).reshape(-1, 8)
             counts[w] += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > n).tobytes() if n else bytes(8 * words)
 
