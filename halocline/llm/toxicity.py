@@ -35,7 +35,7 @@ SAMPLE_ROWS = 4000
 #: Letters of word beginnings; 0 stands for whole words.
 STEMS = (0, 4, 5, 6)
 #: Sets of near copies (of the sample's toxic documents) with a lexicon entry, at least; and their share of all sets.
-MIN_SETS, MIN_SHARE = 3, 0.01
+MIN_SETS, MIN_SHARE = 5, 0.01
 #: A lexicon entry occurs this many times as often in toxic documents as in others, at least.
 MIN_RATIO = 20.0
 LEXICON = 400
