@@ -39,6 +39,19 @@ def nearest(x: np.ndarray, centres: np.ndarray, div: Divergence, chunk: int = CH
     return best, least
 
 
+def nearest_pruned(x: np.ndarray, centres: np.ndarray, div: Divergence) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` for squared Euclidean distance: a centre at least twice as far from a row's best as that row is skipped."""
+    between = np.sqrt(2 * div.matrix(centres, centres))
+    best, least = np.zeros(len(x), dtype=np.int32), div.matrix(x, centres[:1])[:, 0]
+    for i in range(1, len(centres)):
+        rows = np.flatnonzero(between[best, i] < 2 * np.sqrt(2 * least) + 1e-9)
+        if len(rows):
+            d = div.matrix(x[rows], centres[i : i + 1])[:, 0]
+            closer = d < least[rows]
+            best[rows[closer]], least[rows[closer]] = i, d[closer]
+    return best, least
+
+
 def stack(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, 1))
 
@@ -62,7 +75,7 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
     """``df`` with the nearest centre's number and, if named, the distance.
 
     Strategies: ``expression`` (unrolled, generated code), ``arrow`` (NumPy over Arrow batches, centres in chunks),
-    ``crossJoin`` (a broadcast table of centres, one row a point again by ``min_by``), ``auto``.
+    ``accelerated`` (arrow, with centres skipped by the triangle inequality), ``crossJoin`` (a broadcast table of centres, one row a point again by ``min_by``), ``auto``.
     """
     k, d = centres.shape
     x = features_of(df, features)
@@ -73,12 +86,15 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
         found = F.coalesce(F.array_position("__all", F.col("__least")) - 1, F.lit(0)).cast("int")
         out = out.withColumn(cluster, found)
         return (out.withColumn(distance, F.col("__least")) if distance else out).drop("__all", "__least")
-    if strategy == "arrow":
+    if strategy == "accelerated" and div.name != "squaredEuclidean":
+        raise ValueError("the accelerated strategy needs squared Euclidean distance")
+    if strategy in ("arrow", "accelerated"):
+        search = nearest if strategy == "arrow" else nearest_pruned
 
         @F.pandas_udf("struct<c:int,d:double>")
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for values in batches:
-                c, v = nearest(stack(values), centres, div)
+                c, v = search(stack(values), centres, div)
                 yield pd.DataFrame({"c": c, "d": v})
 
         out = df.withColumn("_n", find(x)).withColumn(cluster, F.col("_n.c"))

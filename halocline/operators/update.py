@@ -96,7 +96,11 @@ def new_centres(sums: Sums, old: np.ndarray, div: Divergence, centroid: str = "d
 def weighted_medians(df: DataFrame, features: str, cluster: str, weight: str | None = None) -> DataFrame:
     """(cluster, pos, median): the first value whose running weight reaches half; the mean of two at exactly half."""
     rows = df.select(F.col(cluster).alias("cluster"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.posexplode(features_of(df, features)).alias("pos", "v"))
-    values = rows.groupBy("cluster", "pos", "v").agg(F.sum("w").alias("w"))
+    return running_medians(rows.groupBy("cluster", "pos", "v").agg(F.sum("w").alias("w")))
+
+
+def running_medians(values: DataFrame) -> DataFrame:
+    """The weighted medians of (cluster, pos, v, w), one row for each different value."""
     key = Window.partitionBy("cluster", "pos")
     run = values.withColumn("upto", F.sum("w").over(key.orderBy("v"))).withColumn("all", F.sum("w").over(key)).withColumn("next", F.lead("v").over(key.orderBy("v")))
     reached = run.where(F.col("upto") >= F.col("all") / 2 - 1e-10)

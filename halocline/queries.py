@@ -13,7 +13,7 @@ from halocline.functions.divergences import array_sum
 from halocline.operators import metrics, outliers, validate
 from halocline.operators.assign import assign, distances
 from halocline.operators.update import cluster_sums, hard, soft, weighted_medians
-from halocline.plans import bounded, estimators
+from halocline.plans import bounded, constrained, elkan, estimators, sampled, sparse, tabular
 from halocline.plans.lloyd import first_points, lloyd
 from halocline.streaming.kmeans import StreamingKMeans
 
@@ -431,6 +431,147 @@ for _name, _make in {
     _bounded(_name, _make)
 
 
+@query("assign_accelerated", SQL["assign_se"])
+def assign_accelerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    out = assign(p, "features", first_points(p, "features", 5, "vec_id"), divergences.make("se"), "accelerated", distance="distance")
+    return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query("lloyd3_bounded", SQL["lloyd3_se"])
+def lloyd3_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, div = points(spark, sf_dir), divergences.make("se")
+    r = elkan.bounded_lloyd(p, "features", first_points(p, "features", 4, "vec_id"), max_iter=3, tol=0.0)
+    centres = spark.createDataFrame([(i, float(c.sum())) for i, c in enumerate(r.centres)], "cluster int, s double")
+    own = assign(p, "features", r.centres, div, distance="d").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
+    return centres.join(own, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("cost", F.lit(0.0)), 5).alias("cost"), F.round("s", 5).alias("centre_sum"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Must-links between neighbours of one label, cannot-links between rows two apart of different labels."""
+    p = points(spark, sf_dir).select(F.col("vec_id").alias("i"), "label")
+    pair = lambda gap: p.join(p.select((F.col("i") - gap).alias("i"), F.col("i").alias("j"), F.col("label").alias("other")), "i")
+    must = pair(1).where("label = other").select("i", "j", F.lit(1.0).alias("w"), F.lit("must").alias("kind"))
+    return must.union(pair(2).where("label <> other").select("i", "j", F.lit(2.0), F.lit("cannot")))
+
+
+LINKS = """k AS (SELECT a.vec_id AS i, b.vec_id AS j, 1.0::double AS w, 'must' AS kind FROM p a JOIN p b ON b.vec_id = a.vec_id + 1 AND a.label = b.label
+UNION ALL SELECT a.vec_id, b.vec_id, 2.0::double, 'cannot' FROM p a JOIN p b ON b.vec_id = a.vec_id + 2 AND a.label <> b.label)"""
+
+
+@query("must_link_components", f"""WITH RECURSIVE {POINTS}, {LINKS}, ids AS (SELECT i AS id FROM k UNION SELECT j FROM k), e AS (SELECT i, j FROM k WHERE kind = 'must' UNION SELECT j, i FROM k WHERE kind = 'must'),
+r(id, component) AS (SELECT id, id FROM ids UNION SELECT e.j, r.component FROM r JOIN e ON e.i = r.id) SELECT id, min(component) AS component FROM r GROUP BY id""")
+def must_link_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constrained.must_link_components(constrained.canonical(links(spark, sf_dir)))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    return assign(p, "features", first_points(p, "features", 5, "vec_id"), divergences.make("se")).select(F.col("vec_id").alias("id"), "cluster")
+
+
+@query("constraint_violations", f"""WITH {NEAR}, {LINKS}, b AS (SELECT kind, w, (x.cluster <> y.cluster) = (kind = 'must') AS bad FROM k JOIN a x ON x.vec_id = i JOIN a y ON y.vec_id = j)
+SELECT kind, count(*) AS pairs, count(*) FILTER (bad) AS violated, sum(CASE WHEN bad THEN w ELSE 0 END)::double AS penalty FROM b GROUP BY kind""")
+def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constrained.violations(_near(spark, sf_dir), constrained.canonical(links(spark, sf_dir)))
+
+
+@query("constraint_penalties", f"""WITH {NEAR}, {LINKS}, e AS (SELECT i AS id, j AS other, w, kind FROM k UNION ALL SELECT j, i, w, kind FROM k)
+SELECT id, j::int AS cluster, sum(CASE WHEN (a.cluster <> j) = (kind = 'must') THEN w ELSE 0 END)::double AS penalty FROM e JOIN a ON a.vec_id = other, range(5) t(j) GROUP BY id, j""")
+def constraint_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = constrained.partners(constrained.canonical(links(spark, sf_dir)))
+    return constrained.penalties(_near(spark, sf_dir), pairs, 5).select("id", F.posexplode("penalty").alias("cluster", "penalty"))
+
+
+def _constrained(mode: str) -> None:
+    @query(f"fit_constrained_{mode}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p, c = points(spark, sf_dir), links(spark, sf_dir)
+        e = constrained.ConstrainedKMeans(k=4, id_col="vec_id", mode=mode, max_iter=2, init_mode="random")
+        c = c.where("kind = 'must'") if mode == "hard" else c
+        return e.labels(e.fit(p, c), p, c).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+for _name in ("soft", "hard"):
+    _constrained(_name)
+
+SPARSE = f"{POINTS}, {first_sql(5)}, s AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0.05 THEN v::double ELSE 0 END) AS x FROM embeddings)"
+_p, _q = f"greatest(z[1], {E})", f"greatest(z[2], {E})"
+TERMS["sparse_kl"] = f"{_p} * ln({_p} / {_q}) - {_p} + {_q}"
+
+
+def sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with all but their larger positive components set to zero."""
+    x = F.transform("embedding", lambda v: F.when(v > 0.05, v.cast("double")).otherwise(0.0))
+    return table(spark, sf_dir, "embeddings").select("vec_id", x.alias("features"))
+
+
+def _sparse(kind: str, sql: str) -> None:
+    @query(f"sparse_assign_{kind}", f"WITH {SPARSE}, a AS ({near_sql(sql, 's')}) SELECT vec_id, cluster, round(d, 6) AS distance FROM a")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = first_points(points(spark, sf_dir), "features", 5, "vec_id")
+        out = sparse.assign_sparse(sparse_points(spark, sf_dir), "features", c, sparse.make(kind), distance="distance")
+        return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
+
+    @query(f"fit_sparse_{kind}")
+    def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = sparse_points(spark, sf_dir)
+        return sparse.SparseKMeans(k=4, divergence=kind, mode="force", max_iter=4).fit(df).transform(df).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+for _name, _sql in {"se": "se", "kl": "sparse_kl", "l1": "l1", "spherical": "spherical"}.items():
+    _sparse(_name, _sql)
+
+
+def cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quantities of parts by suppliers, and a first clustering of both."""
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("r"), F.col("l_suppkey").alias("c"), F.col("l_quantity").cast("double").alias("v"))
+    return v, v.select("r").distinct().withColumn("rc", F.pmod("r", F.lit(3)).cast("int")), v.select("c").distinct().withColumn("cc", F.pmod("c", F.lit(2)).cast("int"))
+
+
+BLOCKS = "v AS (SELECT l_partkey AS r, l_suppkey AS c, l_quantity::double AS v, (l_partkey % 3)::int AS rc, (l_suppkey % 2)::int AS cc FROM lineitem), b AS (SELECT rc, cc, avg(v) AS m FROM v GROUP BY rc, cc)"
+
+
+@query("cocluster_blocks", f"WITH {BLOCKS} SELECT rc, cc, round(m, 6) AS mean FROM b")
+def cocluster_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tabular.CoClustering(3, 2).block_means(*cells(spark, sf_dir))
+    return spark.createDataFrame([(i, j, float(b[i, j])) for i in range(3) for j in range(2)], "rc int, cc int, m double").select("rc", "cc", F.round("m", 6).alias("mean"))
+
+
+@query("cocluster_row_costs", f"WITH {BLOCKS} SELECT r, b.rc AS cluster, round(sum(0.5::double * (v - m) * (v - m)), 4) AS cost FROM v JOIN b USING (cc) GROUP BY r, b.rc")
+def cocluster_row_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tabular.CoClustering(3, 2)
+    v, rows, cols = cells(spark, sf_dir)
+    costs = m.move(v, "r", cols, "cc", m.block_means(v, rows, cols))
+    return costs.select("r", F.posexplode("cost").alias("cluster", "cost")).withColumn("cost", F.round("cost", 4))
+
+
+@query("fit_cocluster")
+def fit_cocluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tabular.CoClustering(3, 2, "r", "c", "v", max_iter=4).fit(cells(spark, sf_dir)[0])
+    return m.rows.groupBy(F.col("rc").alias("row_cluster")).agg(F.count("*").alias("n"))
+
+
+@query("fit_information_bottleneck")
+def fit_information_bottleneck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = lines(spark, sf_dir)
+    return tabular.InformationBottleneck(k=3, relevance="l_returnflag", beta=5.0).fit(df).transform(df).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query("fit_clara")
+def fit_clara(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = points(spark, sf_dir)
+    return sampled.Clara(k=4).fit(df).transform(df).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+@query("fit_nystrom")
+def fit_nystrom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled.NystromSpectral(k=4, landmarks=100).fit_transform(points(spark, sf_dir)).groupBy("prediction").agg(F.count("*").alias("n"))
+
+
+_bounded("hard_balanced", lambda: sampled.HardBalancedKMeans(k=3, max_iter=10))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cluster, n, wcss) after three iterations from the ten first embeddings."""
     p, div = points(spark, sf_dir), divergences.make("se")
