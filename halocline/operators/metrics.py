@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.functions.divergences import Divergence, array_sum
+from halocline.functions.divergences import Divergence, array_sum, make
 from halocline.operators.assign import assign, distances, features_of
 
 
@@ -77,3 +77,34 @@ def inertia(df: DataFrame, features: str, prediction: str) -> DataFrame:
     long = df.select(F.col(prediction).alias("c"), F.posexplode(features_of(df, features)).alias("p", "v"))
     per = long.groupBy("c", "p").agg((F.var_pop("v") * F.count("v")).alias("ss"))
     return per.agg(F.sum("ss").alias("inertia"))
+
+
+def mean_centres(df: DataFrame, features: str, prediction: str) -> tuple[list[int], np.ndarray]:
+    """(cluster numbers, arithmetic means): a mean for each cluster and position is all that reaches the driver."""
+    long = df.select(F.col(prediction).alias("c"), F.posexplode(features_of(df, features)).alias("p", "v"))
+    rows = long.groupBy("c", "p").agg(F.avg("v").alias("m")).collect()
+    names = sorted({r["c"] for r in rows})
+    out = np.zeros((len(names), max((r["p"] for r in rows), default=-1) + 1))
+    for r in rows:
+        out[names.index(r["c"]), r["p"]] = r["m"]
+    return names, out
+
+
+def approximate_silhouette(df: DataFrame, features: str, prediction: str) -> DataFrame:
+    """One row: the silhouette with Euclidean distances to the clusters' means in place of all their points.
+
+    All rows count, in one pass after the means. A row in the only cluster has the value 0.
+    """
+    names, means = mean_centres(df, features, prediction)
+    if len(names) < 2:
+        return df.agg(F.when(F.count("*") > 0, 0.0).alias("silhouette"))
+    apart = F.transform(distances(df, features, means, make("se")), lambda d: F.sqrt(2 * F.greatest(d, F.lit(0.0))))
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(prediction)).cast("int") - 1
+    rows = df.select(apart.alias("d"), at.alias("i")).select(F.get("d", F.col("i")).alias("a"), F.array_min(F.filter("d", lambda v, i: i != F.col("i"))).alias("b"))
+    return rows.agg(F.avg(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("silhouette"))
+
+
+def effective_clusters(df: DataFrame, probabilities: str, least: float = 1e-10) -> DataFrame:
+    """One row: the mean of e to the entropy of each row's memberships (1: hard, k: even)."""
+    entropy = array_sum(F.transform(probabilities, lambda p: F.when(p > least, -p * F.log(p)).otherwise(0.0)))
+    return df.agg(F.avg(F.exp(entropy)).alias("effective_clusters"))

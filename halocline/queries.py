@@ -13,7 +13,7 @@ from halocline.functions.divergences import array_sum
 from halocline.operators import metrics, outliers, validate
 from halocline.operators.assign import assign, distances
 from halocline.operators.update import cluster_sums, hard, soft, weighted_medians
-from halocline.plans import bounded, constrained, elkan, estimators, sampled, sparse, tabular
+from halocline.plans import bounded, constrained, elkan, estimators, presets, sampled, sparse, tabular
 from halocline.plans.lloyd import first_points, lloyd
 from halocline.streaming.kmeans import StreamingKMeans
 
@@ -572,6 +572,29 @@ def fit_nystrom(spark: SparkSession, sf_dir: str) -> DataFrame:
 _bounded("hard_balanced", lambda: sampled.HardBalancedKMeans(k=3, max_iter=10))
 
 
+_means = "m AS (SELECT cluster AS cid, list(v ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(v) AS v FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a) GROUP BY cluster, pos) GROUP BY cluster)"
+
+
+@query("silhouette_approximate", f"""WITH {NEAR}, {_means}, d AS (SELECT vec_id, cluster, cid, sqrt(2 * {d_sql('se', 'x', 'm.c')}) AS d FROM a, m),
+s AS (SELECT vec_id, min(d) FILTER (cid = cluster) AS a, min(d) FILTER (cid <> cluster) AS b FROM d GROUP BY vec_id) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
+def silhouette_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    near = assign(p, "features", first_points(p, "features", 5, "vec_id"), divergences.make("se"))
+    return metrics.approximate_silhouette(near, "features", "cluster").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("effective_clusters", f"WITH {SOFT} SELECT round(avg(exp(-list_sum(list_transform(q, lambda v: v * ln(v))))), 6) AS effective_clusters FROM s")
+def effective_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    m = estimators.SoftModel(first_points(p, "features", 4, "vec_id"), beta=2.0)
+    return metrics.effective_clusters(m.transform(p), "probabilities").select(F.round("effective_clusters", 6).alias("effective_clusters"))
+
+
+@query("elbow_curve")
+def elbow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presets.elbow_curve(points(spark, sf_dir), "features", 2, 4, presets.preset("fast", init_mode="random"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cluster, n, wcss) after three iterations from the ten first embeddings."""
     p, div = points(spark, sf_dir), divergences.make("se")

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.functions import divergences
+from halocline.operators import metrics
 from halocline.operators.assign import assign, nearest, nearest_pruned
 from halocline.operators.graph import components
-from halocline.plans import constrained, elkan, estimators, sampled, sparse, summary, tabular
+from halocline.plans import constrained, elkan, estimators, presets, sampled, sparse, summary, tabular
 from halocline.plans.lloyd import lloyd
 
 
@@ -128,3 +129,24 @@ def test_summary_row(spark, blobs):
     m = estimators.KMeans(k=3).fit(blobs[1])
     r = summary.summary_frame(spark, m, "KMeans", 3, 120, 1000).first()
     assert len(r) == 16 and r["effectiveK"] == 3 and r["dim"] == 3 and r["finalDistortion"] == m.summary.distortion[-1]
+
+
+def test_silhouettes_and_entropy(spark, blobs):
+    x, df = blobs
+    out = assign(df, "features", x[[0, 50, 100]], divergences.make("se"))
+    assert metrics.approximate_silhouette(out, "features", "cluster").first()[0] > 0.7
+    assert metrics.approximate_silhouette(out.withColumn("cluster", F.lit(0)), "features", "cluster").first()[0] == 0.0
+    p = spark.createDataFrame([([1.0, 0.0],), ([0.5, 0.5],)], "p array<double>")
+    assert metrics.effective_clusters(p, "p").first()[0] == pytest.approx(1.5)
+
+
+def test_presets_and_json(blobs):
+    assert presets.preset("fast", 3, seed=4) == estimators.KMeans(k=3, max_iter=10, tol=1e-3, seed=4)
+    with pytest.raises(ValueError, match="preset"):
+        presets.preset("no such")
+    e = estimators.RobustKMeans(k=3, mode="trim")
+    assert presets.from_json(presets.to_json(e)) == e
+    with pytest.raises(ValueError, match="estimator"):
+        presets.from_json('{"class": "View", "settings": {}}')
+    rows = [r["inertia"] for r in presets.elbow_curve(blobs[1], "features", 1, 3).collect()]
+    assert rows == sorted(rows, reverse=True)
