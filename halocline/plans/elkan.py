@@ -32,7 +32,7 @@ def measure(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def bounded_lloyd(df: DataFrame, features: str, centres: np.ndarray, max_iter: int = 20, tol: float = 1e-4, weight: str | None = None) -> LloydResult:
-    """Empty clusters keep their centres. ``distortion`` is measured with the bounds' exact distances only at the end."""
+    """Empty clusters keep their centres. ``distortion`` stays empty: rows that are skipped have bounds, not distances."""
     r = LloydResult(np.asarray(centres, dtype=float), 0)
     state = df.select(features_of(df, features).alias("x"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.lit(-1).alias("c"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("lower"))
     moves = np.zeros(len(centres))
