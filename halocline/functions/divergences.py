@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from halocline.errors import UnknownName
+
 EPSILON = 1e-10
 NORM_FLOOR = 1e-10
 
@@ -97,7 +99,33 @@ def make(name: str, smoothing: float = EPSILON) -> Divergence:
         return Divergence(key, _l1, lambda x, c: F.abs(x - c), None, None)
     if key == "spherical":
         return Divergence(key, _spherical, None, _unit, _unit)
-    raise ValueError(f"unknown divergence {name!r}; one of {sorted(set(ALIASES.values()))}")
+    raise UnknownName("divergence", name, sorted(set(ALIASES.values())))
+
+
+@dataclass(frozen=True)
+class Traits:
+    """What a planner needs to know of a divergence."""
+
+    name: str
+    #: D(x, c) = D(c, x)
+    symmetric: bool
+    #: Needs positive coordinates.
+    positive: bool
+    #: The distance matrix is a matrix product, and bounds by the triangle inequality hold for its root.
+    product_form: bool
+    #: Transform that moves data into the domain, by its name in ``transforms``.
+    transform: str
+
+
+def traits(name: str) -> Traits:
+    key = make(name).name
+    return Traits(
+        key,
+        key in ("squaredEuclidean", "l1", "spherical"),
+        key in ("kl", "generalizedI", "itakuraSaito", "logistic"),
+        key == "squaredEuclidean",
+        {"kl": "kl", "generalizedI": "kl", "itakuraSaito": "epsilon_shift", "spherical": "spherical"}.get(key, "identity"),
+    )
 
 
 #: Accepted names.

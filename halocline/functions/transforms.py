@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from halocline.errors import UnknownName
+
 from halocline.functions.divergences import array_sum, norm
 
 DIVERGENCES = ("squaredEuclidean", "kl", "itakuraSaito", "generalizedI", "logistic", "l1", "spherical")
@@ -80,7 +82,7 @@ def make(name: str) -> Transform:
         return simple[key]()
     if key == "kl":
         return epsilon_shift().then(normalize_l1())
-    raise ValueError(f"unknown transform {name!r}")
+    raise UnknownName("transform", name, [*simple, "kl"])
 
 
 def derivative(x: Column) -> Column:

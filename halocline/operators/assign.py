@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halocline.errors import UnknownName
 from halocline.functions.divergences import Divergence, between, to_centre
 
 #: Up to this many centre coordinates, distances are unrolled into generated code; above, Arrow batches and NumPy.
@@ -16,6 +17,8 @@ UNROLLED = 120
 #: Centre rows that meet one Arrow batch at a time.
 CHUNK = 1024
 
+STRATEGIES = ["auto", "expression", "arrow", "accelerated", "crossJoin", "broadcast", "broadcastUDF", "chunked"]
+
 
 def features_of(df: DataFrame, col: str) -> Column:
     """The column as array<double>: arrays are cast, ML vectors unpacked."""
@@ -106,4 +109,4 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
         least = near.groupBy("_id").agg(F.first("_row").alias("_row"), F.min(F.struct(between(div, F.col("_x"), F.col("_centre")).alias("d"), F.col("_c").alias("c"))).alias("_n"))
         extra = [F.col("_n.c").alias(cluster)] + ([F.col("_n.d").alias(distance)] if distance else [])
         return least.select("_row.*", *extra)
-    raise ValueError(f"unknown strategy {strategy!r}")
+    raise UnknownName("strategy", strategy, STRATEGIES)

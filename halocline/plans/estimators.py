@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halocline.errors import OutOfRange
 from halocline.functions import divergences
 from halocline.functions.divergences import Divergence
 from halocline.operators.assign import assign, distances, features_of, nearest
@@ -76,6 +77,13 @@ class KMeans:
     empty: str = "reseed"
     validate: bool = True
 
+    def __post_init__(self) -> None:
+        for name, least in (("k", 1), ("max_iter", 0), ("tol", 0), ("init_steps", 0), ("n_init", 1), ("smoothing", 0)):
+            value = getattr(self, name)
+            if not value >= least:
+                raise OutOfRange(name, value, f"{least} or more")
+        divergences.make(self.divergence)
+
     @property
     def div(self) -> Divergence:
         return divergences.make(self.divergence, self.smoothing)

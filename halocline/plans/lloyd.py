@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halocline.errors import CostRose
 from halocline.functions.divergences import Divergence
 from halocline.operators.assign import assign, features_of, nearest
 from halocline.operators.update import cluster_sums, hard, new_centres, weighted_medians
+from halocline.telemetry import emit
 
 
 @dataclass
@@ -82,6 +84,7 @@ def refill(df: DataFrame, features: str, centres: np.ndarray, empty: np.ndarray,
 def lloyd(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, max_iter: int = 20, tol: float = 1e-4, weight: str | None = None, centroid: str = "dual", empty: str = "keep") -> LloydResult:
     """``empty``: keep (the slot keeps its centre), reseed (furthest points), drop (k shrinks)."""
     r = LloydResult(np.asarray(centres, dtype=float), 0)
+    emit("started", divergence=div.name, k=len(r.centres))
     to_dual = div.grad if centroid == "dual" and div.grad is not None else (lambda x: x)
     for _ in range(max_iter):
         sums = cluster_sums(df, features, len(r.centres), hard(r.centres, div), to_dual, weight)
@@ -94,6 +97,7 @@ def lloyd(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, ma
         none = sums.weight <= 0
         if none.any():
             r.empty_events += 1
+            emit("empty_clusters", iteration=r.iterations, count=int(none.sum()))
             if empty == "reseed":
                 new = refill(df, features, new, none, div)
             elif empty == "drop":
@@ -102,9 +106,14 @@ def lloyd(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, ma
         r.centres, r.iterations = new, r.iterations + 1
         r.distortion.append(float(sums.cost.sum()))
         r.movement.append(moved)
+        emit("iteration", iteration=r.iterations, cost=r.distortion[-1], moved=moved)
+        if len(r.distortion) > 1 and r.distortion[-1] > r.distortion[-2] * (1 + 1e-9):
+            emit("warning", message=str(CostRose(r.iterations, r.distortion[-2], r.distortion[-1])))
         if moved < tol:
             r.converged = True
+            emit("converged", iteration=r.iterations, moved=moved)
             break
+    emit("finished", iterations=r.iterations, converged=r.converged)
     return r
 
 

@@ -8,6 +8,7 @@ from dataclasses import fields, replace
 import numpy as np
 from pyspark.sql import DataFrame
 
+from halocline.errors import UnknownName
 from halocline.operators.metrics import inertia
 from halocline.plans import estimators
 from halocline.plans.estimators import KMeans
@@ -18,14 +19,25 @@ PRESETS = {
     "fast": {"max_iter": 10, "tol": 1e-3},
     "high_quality": {"max_iter": 100, "tol": 1e-6},
     "debug": {"validate": True},
+    "production": {"validate": True, "max_iter": 20},
+    "text": {"k": 20, "divergence": "cosine", "max_iter": 30},
+    "images": {"k": 10, "max_iter": 50},
+    "topics": {"k": 50, "divergence": "kl", "max_iter": 100, "tol": 1e-5},
+    "anomalies": {"k": 3, "max_iter": 100, "tol": 1e-6},
+    "robust": {"k": 5, "divergence": "manhattan", "max_iter": 100, "tol": 1e-6},
+    "large": {"k": 10, "max_iter": 100},
+    "streaming": {"k": 10, "max_iter": 1000},
 }
+#: Of these, mini-batches.
+MINI_BATCH = ("large", "streaming")
 
 
-def preset(name: str, k: int = 2, **more) -> KMeans:
-    """K-means with the settings of a name; ``more`` goes over them."""
+def preset(name: str, k: int | None = None, **more) -> KMeans:
+    """An estimator with the settings of a name; ``k`` and ``more`` go over them."""
     if name not in PRESETS:
-        raise ValueError(f"unknown preset {name!r}; one of {sorted(PRESETS)}")
-    return KMeans(**{"k": k, **PRESETS[name], **more})
+        raise UnknownName("preset", name, sorted(PRESETS))
+    kind = estimators.MiniBatchKMeans if name in MINI_BATCH else KMeans
+    return kind(**{**PRESETS[name], **({} if k is None else {"k": k}), **more})
 
 
 def elbow_curve(df: DataFrame, features: str, min_k: int = 2, max_k: int = 10, base: KMeans | None = None) -> DataFrame:

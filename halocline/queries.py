@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halocline.functions import divergences, infotheory, mercer, transforms
+from halocline.functions import divergences, infotheory, mercer, transforms, vectors
 from halocline.functions.divergences import array_sum
 from halocline.operators import metrics, outliers, validate
 from halocline.operators.assign import assign, distances
 from halocline.operators.update import cluster_sums, hard, soft, weighted_medians
 from halocline.plans import bounded, constrained, elkan, estimators, presets, sampled, sparse, tabular
 from halocline.plans.lloyd import first_points, lloyd
+from halocline.sources import persistence
 from halocline.streaming.kmeans import StreamingKMeans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -595,6 +596,47 @@ def elbow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presets.elbow_curve(points(spark, sf_dir), "features", 2, 4, presets.preset("fast", init_mode="random"))
 
 
+@query("vector_algebra", f"""WITH {POINTS}, s AS (SELECT vec_id, list_sum(x) AS total, list_sum(list_transform(x, lambda v: v * v)) AS sq, list_max(x) AS largest, x FROM p)
+SELECT vec_id, round(total, 6) AS total, round(largest, 6) AS largest, round(sq, 6) AS squared_norm, round(sqrt(sq), 6) AS norm2, round(list_sum(list_transform(x, lambda v: abs(v - 0.5::double))), 6) AS norm1,
+round(list_sum(list_transform(x, lambda v: v * (2 * v + 1))), 6) AS dot, round(list_sum(list_transform(x, lambda v: v / sqrt(sq))), 6) AS unit_total FROM s""")
+def vector_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, x = points(spark, sf_dir), F.col("features")
+    return p.select(
+        "vec_id",
+        F.round(vectors.total(x), 6).alias("total"),
+        F.round(vectors.largest(x), 6).alias("largest"),
+        F.round(vectors.squared_norm(x), 6).alias("squared_norm"),
+        F.round(vectors.norm2(x), 6).alias("norm2"),
+        F.round(vectors.norm1(vectors.trans(x, lambda v: v - 0.5)), 6).alias("norm1"),
+        F.round(vectors.dot(x, vectors.axpy(2.0, x, vectors.trans(x, lambda v: F.lit(1.0)))), 6).alias("dot"),
+        F.round(vectors.total(vectors.normalised(x)), 6).alias("unit_total"),
+    )
+
+
+@query("safe_logs", "SELECT l_returnflag, round(sum(CASE WHEN l_discount = 0 THEN 0 ELSE ln(l_discount::double) END), 4) AS total, count(*) AS n FROM lineitem GROUP BY 1")
+def safe_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = vectors.safe_log(F.col("l_discount").cast("double"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(log), 4).alias("total"), F.count("*").alias("n"))
+
+
+@query("rule_report", f"""WITH {LINES} SELECT rule, count_if(bad)::BIGINT AS broken FROM (
+SELECT unnest(['not_null', 'no_nan', 'finite', 'domain_logistic', 'weight', 'small']) AS rule,
+       unnest([x IS NULL, len(list_filter(x, lambda v: isnan(v))) > 0, len(list_filter(x, lambda v: isinf(v))) > 0, len(list_filter(x, lambda v: v <= 0 OR v >= 1)) > 0, w < 0, x[1] >= 0.5::double]) AS bad FROM p) GROUP BY rule""")
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = lines(spark, sf_dir)
+    given = validate.rules(p, "features", divergences.make("logistic"), "w") | {"small": F.get("features", 0) >= 0.5}
+    found = validate.examine(p, given, "features")
+    return spark.createDataFrame([(name, found.broken.get(name, 0)) for name in given], "rule string, broken long")
+
+
+@query("dendrogram")
+def dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.array(F.col("s_nationkey") / 25.0, F.col("s_acctbal").cast("double") / 1e4).alias("features"))
+    fitted = bounded.Agglomerative(clusters=1, linkage="ward")
+    fitted.fit_transform(s, "features", "s_suppkey")
+    return persistence.dendrogram(spark, fitted.merges)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cluster, n, wcss) after three iterations from the ten first embeddings."""
     p, div = points(spark, sf_dir), divergences.make("se")
