@@ -7,8 +7,9 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
   blocks is a route, and each linked pair meets on one of them.
 * ``near_duplicate_groups``: shingle similarity (Jaccard) of ``similarity`` or more. One fingerprint word cannot tell
   0.8 from less, so fingerprints are several words long, as many as give RECALL of pairs just at the threshold an equal
-  band of bits; a band is a route. Links need at most the differing bits expected at the threshold plus two standard
-  deviations.
+  band of bits; a band is a route. Candidates differ in at most the bits expected at the threshold plus two standard
+  deviations. Their connected sets are then checked exactly: within each, documents are linked when their shingle sets
+  are as similar as asked for, so no document is grouped that has no such partner.
 
 Routes are shuffled to tasks. There, the fingerprints of each route key are sorted by Gray rank, so that neighbours
 share long bit patterns. FAN neighbours make a node, FAN nodes an upper node; a node holds the pattern of the bits that
@@ -17,7 +18,8 @@ the search goes one level down, where more bits are agreed on and differences ad
 
 Scale: equal fingerprints are folded into one row before the search. A route key with more than its share of rows is
 cut into chunks, and pairs of chunks go to different tasks. A task sends a star for each connected set it found, never
-pairs, and the stars go to ``connected_components``.
+pairs, and the stars go to ``connected_components``. The exact check reads the shingles of documents with a candidate
+partner only; a connected set with more than its share of rows or shingles is cut into chunks in the same way.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, and links like any other; equal
 texts always share a component; ids should be unique (rows of one id share their component); an empty table gives an
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm._common import Table, attach_groups, whole_text_batches, without_ids
+from halocline.llm._common import SMALL_IDS, Table, attach_groups, whole_text_batches, without_ids
 from halocline.llm._components import connected_components, label_min, star_edges
 
 SEED = 42
@@ -47,6 +49,8 @@ ROUTE_ROWS, LONG_ROUTES = 2048, 20_000
 #: Share of the pairs just at the similarity threshold that must meet on a band.
 RECALL = 0.99
 SHINGLES_AT_ONCE = 1 << 15
+#: Rows and shingles of a connected set that the exact check keeps together, at least.
+SET_ROWS, SET_SHINGLES = 1024, 1 << 20
 
 
 def shingle_digests(text: str, size: int):
@@ -80,8 +84,7 @@ def fingerprint(text: str, size: int, words: int = 1) -> bytes:
     counts, n = np.zeros((words, 64), dtype=np.int64), 0
     parts = shingle_digests(text, size)
     if words > 1:
-        found = [np.unique(np.frombuffer(data, dtype=">u8").astype(np.uint64)) for data in parts]
-        base = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        base = shingle_set(text, size)
         parts = (base[at : at + SHINGLES_AT_ONCE].astype(">u8").tobytes() for at in range(0, len(base), SHINGLES_AT_ONCE))
     for data in parts:
         raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 8)
@@ -255,6 +258,91 @@ def _search(max_bits: int, batches, rows_at_once: int = 1 << 17):
         yield solve(pa.Table.from_batches(held))
 
 
+# ---- the exact check -------------------------------------------------------------------------------------------
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Sorted hashes of the different shingles."""
+    found = [np.unique(np.frombuffer(data, dtype=">u8").astype(np.uint64)) for data in shingle_digests(text, size)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+def _shingle_sets(size: int, batches):
+    for batch in batches:
+        got = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
+        arrays = [batch.column(0), batch.column(1), pa.array([s.tobytes() for s in got], pa.binary()), pa.array([len(s) for s in got], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "component", "shingles", "n"])
+
+
+def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Position of the first set in each one's component, over links of ``similarity`` or more; empty sets are equal."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    ends = np.r_[0, np.cumsum(size)]
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    seen, label = np.zeros(int(column.max()) + 1 if len(column) else 0, dtype=bool), np.arange(n)
+    for i in range(n):
+        if (label == label[0]).all():
+            break
+        own = column[ends[i] : ends[i + 1]]
+        seen[own] = True
+        upto = np.r_[0, np.cumsum(seen[column])]
+        seen[own] = False
+        common = upto[ends[1:]] - upto[ends[:-1]]
+        joined = np.unique(label[common >= similarity * (size + size[i] - common) - 1e-9])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _similar_stars(similarity: float, batches):
+    """Rows (component, a, b, doc, shingles) sorted by the first three -> star edges of each group."""
+    us, vs, docs, sets, key = [], [], [], [], None
+
+    def solve() -> None:
+        ids = np.array(docs, dtype=np.int64)
+        label = similar_labels(sets, similarity)
+        moved = label != np.arange(len(label))
+        us.append(ids[moved])
+        vs.append(ids[label[moved]])
+
+    for batch in batches:
+        for *now, doc, data in zip(*[batch.column(c).to_pylist() for c in ("component", "a", "b", "doc", "shingles")], strict=True):
+            if now != key:
+                if docs:
+                    solve()
+                docs, sets, key = [], [], now
+            docs.append(doc)
+            sets.append(np.frombuffer(data, dtype=np.uint64))
+    if docs:
+        solve()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+
+def _exact_components(docs: DataFrame, loose: Table, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """(doc, component) of all documents, from candidate sets ``loose`` (doc, component)."""
+    groups = Table(loose.df.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1"), "near-groups")
+    total = groups.df.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    members = Table(attach_groups(loose.df, groups.df, ["component"], "rows", total).where("rows is not null").select("doc", "component"), "near-members")
+    chosen = F.broadcast(members.df) if total <= SMALL_IDS else members.df
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc").select("doc", "component", "text")
+    sets = Table(texts.mapInArrow(partial(_shingle_sets, size), "doc long, component long, shingles binary, n long"), "near-sets")
+    all_shingles = sets.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows, shingles = max(SET_ROWS, total // LONG_ROUTES), max(SET_SHINGLES, all_shingles // LONG_ROUTES)
+    parts = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
+    long = Table(sets.df.groupBy("component").agg(parts.alias("chunks")).where("chunks > 1"), "near-long")
+    chunked = (
+        sets.df.join(F.broadcast(long.df), "component", "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc", "shingles")
+    )
+    group = ["component", "a", "b"]
+    edges = chunked.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_similar_stars, similarity), "u long, v long")
+    found = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("exact"))
+    return loose.df.select("doc").join(found, "doc", "left").select("doc", F.coalesce("exact", "doc").alias("component"))
+
+
 # ---- operators -------------------------------------------------------------------------------------------------
 
 
@@ -299,7 +387,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component_id: groups of documents whose shingle similarity is ``similarity`` or more, closed over links."""
     words, masks, max_bits = band_plan(docs.count(), similarity)
-    return _groups(docs, id_col, text_col, shingle_words, words, lambda _: (masks, max_bits)).select(id_col, F.col("component").alias("component_id"))
+    candidates = _groups(docs, id_col, text_col, shingle_words, words, lambda _: (masks, max_bits))
+    loose = Table(candidates.select(F.col(id_col).alias("doc"), "component"), "near-loose")
+    exact = _exact_components(docs, loose, id_col, text_col, shingle_words, similarity)
+    return exact.select(F.col("doc").alias(id_col), F.col("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

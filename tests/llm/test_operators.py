@@ -110,6 +110,34 @@ def test_simhash(docs, none):
     assert simhash.simhash_groups(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1024, 4])
+def test_near_duplicates_equal_brute_force(spark, none, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "SET_ROWS", chunk)
+    rng, body = np.random.default_rng(4), [" ", "", None, "one two", "One  two"]
+    for i in range(12):
+        base = [f"w{i}x{j}" for j in range(120)]
+        body.append(" ".join(base))
+        for _ in range(4):  # one to seven changed words: similarities from 0.5 to 0.95
+            changed = list(base)
+            for at in rng.choice(120, rng.integers(1, 8), replace=False):
+                changed[at] = f"new{rng.integers(10**6)}"
+            body.append(" ".join(changed))
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(body)], "doc_id long, text string, component int, doc int")
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, comp = [grams(t) for t in body], list(range(len(body)))
+    for _ in range(8):
+        for a, b in itertools.combinations(range(len(body)), 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == dict(enumerate(comp)) and 5 < len(set(comp)) < len(body)
+    assert simhash.near_duplicate_groups(none).count() == 0
+
+
 @pytest.mark.parametrize("words", [1, 3])
 def test_gray_index_loses_no_link(words):
     rng = np.random.default_rng(words)
