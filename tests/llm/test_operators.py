@@ -320,3 +320,42 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             if name != "pack_sequences":
                 assert now.columns == given.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+#: Alphabet and lengths of planted secrets; lower-case hex of 24 letters or more is a kind of its own.
+PLANTED = {
+    "hex": ("0123456789abcdef", (20,)),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (20, 32, 40, 64)),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", (20, 32, 40, 64)),
+    "base62": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", (20, 32, 40, 64)),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (20, 32, 40, 64)),
+}
+
+
+def random_recall(spark, planted):
+    """(share found of each kind and length, ordinary runs found) among nine ordinary runs for each secret."""
+    rng, body, where = np.random.default_rng(6), [], []
+    words = f"{EN} {DE} customer order request handler configuration default response value".split()
+    for kind, (letters, lengths) in planted.items():
+        for n in lengths:
+            for _ in range(25):
+                secret = "".join(rng.choice(list(letters), n))
+                body.append(f"{EN} {secret} {DE}")
+                where.append((kind, n, len(EN) + 1, len(EN) + 1 + n))
+    for _ in range(9 * len(where)):
+        own = [str(w) for w in rng.choice(words, 7)]
+        join = rng.integers(4)
+        run = "".join(w.title() for w in own) if join == 3 else "_-/"[join].join(own) + f"-{rng.integers(2030)}"
+        body.append(f"{EN} {run} {DE}")
+    df = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["random"]] for r in secrets.scan(df).collect()}
+    found = {}
+    for i, (kind, n, start, end) in enumerate(where):
+        found.setdefault((kind, n), []).append((start, end) in got[i])
+    return {k: sum(v) / len(v) for k, v in found.items()}, sum(bool(got[i]) for i in range(len(where), len(body)))
+
+
+def test_planted_secrets_of_usual_length_are_found(spark):
+    found, wrong = random_recall(spark, PLANTED)
+    assert min(found.values()) >= 0.9 and np.mean(list(found.values())) >= 0.98, found
+    assert wrong <= 4
