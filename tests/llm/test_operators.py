@@ -359,3 +359,11 @@ def test_planted_secrets_of_usual_length_are_found(spark):
     found, wrong = random_recall(spark, PLANTED)
     assert min(found.values()) >= 0.9 and np.mean(list(found.values())) >= 0.98, found
     assert wrong <= 4
+
+
+def test_secrets_of_every_alphabet_are_tested(spark):
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    forms = {"HEX": digits + "ABCDEF", "BASE36": digits + upper, "lower-": digits + lower + "_-", "UPPER-": digits + upper + "_-"}
+    found, wrong = random_recall(spark, {k: (v, (20, 32, 40, 64)) for k, v in forms.items()})
+    assert min(found.values()) >= 0.9 and np.mean(list(found.values())) >= 0.98, found
+    assert wrong <= 4
