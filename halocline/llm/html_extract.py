@@ -1,8 +1,9 @@
 """Main text of web pages with a site style tree.
 
 1. Each page is parsed into blocks. Elements that are never article text (scripts, forms, menus, footers, adverts,
-   comments, by element name or by class, id and role) are pruned. A page with an ``article`` or ``main`` element is
-   reduced to it. What is left are blocks with their *path*: the block-level ancestors with their classes.
+   comments, by element name or by whole tokens of class and role, never by id) are pruned, but for wrappers of most of
+   the page's text, and not at all where little would be left. A page with ``article`` or ``main`` elements is reduced
+   to them if they hold most of what is left. What is left are blocks with their *path*: the block-level ancestors with their classes.
 2. The pages of one host are merged into its style tree: one node for each path. A node's importance is the mean, over
    the different texts seen in it, of 1 - log(pages with the text) / log(pages with the node): the normalised entropy of
    where a text occurs. Texts that every page repeats bring it to 0, texts of their own page to 1.
@@ -41,11 +42,16 @@ RAW = frozenset("script style textarea title noscript iframe xmp template".split
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 PRUNED = frozenset("aside button dialog fieldset footer form head iframe input label legend menu nav noscript object option script search select style svg template textarea title canvas audio video".split())
 MAIN = frozenset(("article", "main"))
-#: Words of a class, id or role that mark what is not article text.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|respond|replies|reply|disqus|complementary|contentinfo|consent|cookie|cookies|copyright|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|alert|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|search|share|sharing|sidebar|sidebars|signup|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets)(?=$|[\s_-]|\d)",
-    re.IGNORECASE,
+#: A class token or role marks what is not article text if it is made of these words and of NEUTRAL ones only.
+NOISE = frozenset(
+    "ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|respond|replies|reply|disqus|complementary|contentinfo|consent|cookie|cookies|copyright|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|alert|overlay|pager|pagination|popup|promo|promoted|promotion|recommended|related|search|share|sharing|sidebar|sidebars|signup|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|widgets".split("|")
 )
+NEUTRAL = frozenset("area bar block bottom box container inner left link links list right section site slot top unit".split())
+#: A marked element of several blocks with more than this share of the page's text (nested marked ones apart) is a
+#: wrapper, and stays.
+WRAPPER = 0.5
+#: Pruning that leaves less than this share of the text is not done; nor is a reduction to article and main below MOST.
+LEAST, MOST = 0.2, 0.5
 #: Starting one of these ends an open one of the same set.
 SIBLINGS = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 #: Starting one of these ends an open paragraph.
@@ -54,16 +60,27 @@ SCOPES = frozenset("table ul ol dl article section div body td th main nav aside
 
 
 class Node:
-    __slots__ = ("name", "path", "pruned", "main")
+    __slots__ = ("name", "path", "pruned", "main", "noise")
 
-    def __init__(self, name: str, path: str, pruned: bool, main: bool):
-        self.name, self.path, self.pruned, self.main = name, path, pruned, main
+    def __init__(self, name: str, path: str, pruned: bool, main: bool, noise: tuple[int, ...]):
+        self.name, self.path, self.pruned, self.main, self.noise = name, path, pruned, main, noise
 
 
-def parse(html: str) -> list[tuple[str, str, bool]]:
-    """Blocks in page order: (path, text, inside an article or main element); pruned parts are left out."""
-    out: list[tuple[str, str, bool]] = []
-    stack = [Node("", "", False, False)]
+def is_noise(attributes: dict[str, str]) -> bool:
+    """Whether a class token or role (never an id) is made of NOISE words, neutral ones apart."""
+    for token in f"{attributes.get('class', '')} {attributes.get('role', '')}".lower().split():
+        words = [w.rstrip("0123456789") for w in re.split("[_-]+", token)]
+        if any(w in NOISE for w in words) and all(w in NOISE or w in NEUTRAL or not w for w in words):
+            return True
+    return False
+
+
+def parse(html: str) -> list[tuple[str, str, bool, tuple[int, ...]]]:
+    """Blocks in page order: (path, text, inside an article or main element, numbers of the marked elements around it);
+    what is pruned by element name is left out."""
+    out: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    marked = 0
+    stack = [Node("", "", False, False, ())]
     text: list[str] = []
     owner = stack[0]
 
@@ -71,7 +88,7 @@ def parse(html: str) -> list[tuple[str, str, bool]]:
         if text:
             block = " ".join("".join(text).split())
             if block:
-                out.append((owner.path, block, owner.main))
+                out.append((owner.path, block, owner.main, owner.noise))
             text.clear()
 
     def add(raw: str) -> None:
@@ -139,16 +156,17 @@ def parse(html: str) -> list[tuple[str, str, bool]]:
                     break
         parent = stack[-1]
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        marks = " ".join(attributes.get(k, "") for k in ("class", "id", "role"))
-        noisy = bool(marks.strip()) and name not in ("html", "body", "article", "main") and NOISE.search(marks) is not None
-        pruned = parent.pruned or name in PRUNED or noisy or (name == "header" and not parent.main) or "hidden" in attributes
+        noisy = name not in ("html", "body", "article", "main") and is_noise(attributes)
+        # Marked elements within a line are pruned at once: they are no wrappers.
+        pruned = parent.pruned or name in PRUNED or (noisy and not block) or (name == "header" and not parent.main) or "hidden" in attributes
+        marked += noisy
         main = parent.main or name in MAIN or attributes.get("role", "").lower() in ("main", "article")
         if block or pruned != parent.pruned:
             if pruned and not parent.pruned and not block:
                 add(" ")
             kind = attributes.get("class", "")
             path = f"{parent.path}/{name}{'.' + '.'.join(sorted(kind.split())) if kind.strip() else ''}" if block else parent.path
-            stack.append(Node(name, path, pruned, main))
+            stack.append(Node(name, path, pruned, main, (*parent.noise, marked) if noisy and block else parent.noise))
     flush()
     return out
 
@@ -156,9 +174,20 @@ def parse(html: str) -> list[tuple[str, str, bool]]:
 def article_blocks(html: str) -> list[tuple[str, str]]:
     """(path, text) of the blocks that may be article text."""
     blocks = parse(html)
-    if any(main for _, _, main in blocks):
-        blocks = [b for b in blocks if b[2]]
-    return [(path, text) for path, text, _ in blocks]
+    size = lambda some: sum(len(b[1]) for b in some)
+    total = size(blocks)
+    own: dict[int, list[int]] = {}
+    for _, text, _, noise in blocks:
+        if noise:
+            own.setdefault(noise[-1], []).append(len(text))
+    wrappers = {k for k, n in own.items() if len(n) > 1 and sum(n) > WRAPPER * total}
+    kept = [b for b in blocks if wrappers.issuperset(b[3])]
+    if size(kept) < LEAST * total:
+        kept = blocks
+    main = [b for b in kept if b[2]]
+    if main and size(main) >= MOST * size(kept):
+        kept = main
+    return [(path, text) for path, text, _, _ in kept]
 
 
 def _parse(batches):
