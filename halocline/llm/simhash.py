@@ -7,8 +7,10 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
   blocks is a route, and each linked pair meets on one of them.
 * ``near_duplicate_groups``: shingle similarity (Jaccard) of ``similarity`` or more. One fingerprint word cannot tell
   0.8 from less, so fingerprints are several words long, as many as give RECALL of pairs just at the threshold an equal
-  band of bits; a band is a route. Candidates differ in at most the bits expected at the threshold plus two standard
-  deviations. Their connected sets are then checked exactly: within each, documents are linked when their shingle sets
+  band of bits; a band is a route. Candidates differ in at most the bits expected at the threshold, for the shingle
+  counts where that is most, plus five standard deviations. Documents of FEW shingles or fewer flip more bits, so they
+  also meet on an exact route: each of the rarest shingles of which two similar documents must share one (prefix filter),
+  where their sets are compared. The candidates' connected sets are then checked exactly: within each, documents are linked when their shingle sets
   are as similar as asked for, so no document is grouped that has no such partner.
 
 Routes are shuffled to tasks. There, the fingerprints of each route key are sorted by Gray rank, so that neighbours
@@ -29,7 +31,7 @@ empty result.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -48,6 +50,8 @@ FAN = 8
 ROUTE_ROWS, LONG_ROUTES = 2048, 20_000
 #: Share of the pairs just at the similarity threshold that must meet on a band.
 RECALL = 0.99
+#: Documents of so many shingles or fewer take the exact route too; one in COMMON shingles there may be a common one.
+FEW, COMMON = 16, 1 << 16
 SHINGLES_AT_ONCE = 1 << 15
 #: Rows and shingles of a connected set that the exact check keeps together, at least.
 SET_ROWS, SET_SHINGLES = 1024, 1 << 20
@@ -120,10 +124,30 @@ def flip_rate(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+@lru_cache
+def worst_flip_rate(similarity: float, few: int) -> float:
+    """The largest expected share of differing bits of pairs of ``similarity`` with over ``few`` shingles in one of them."""
+    worst = flip_rate(similarity)
+
+    def over(s: int, own: int, n: int) -> float:
+        return sum(math.comb(own, i) for i in range(own + 1) if 2 * (s + i) > n) / 2**own
+
+    for shared in range(1, 4 * few):
+        rest = math.floor(shared / similarity + 1e-9) - shared
+        for x in range(rest // 2 + 1):
+            y = rest - x
+            if shared + y <= few:
+                continue
+            sets = [(math.comb(shared, s) / 2**shared, over(s, x, shared + x), over(s, y, shared + y)) for s in range(shared + 1)]
+            worst = max(worst, sum(p * (a * (1 - b) + b * (1 - a)) for p, a, b in sets))
+    return worst
+
+
 def band_plan(n: int, similarity: float) -> tuple[int, list[list[int]], int]:
     """(words of the fingerprint, masks, most differing bits)."""
     bits = min(24, max(12, math.ceil(math.log2(max(n, 1) / 64))))
-    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - flip_rate(similarity)) ** bits))
+    f = worst_flip_rate(similarity, FEW)
+    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - f) ** bits))
     per_word = 64 // bits
     words = math.ceil(bands / per_word)
     masks = []
@@ -131,8 +155,7 @@ def band_plan(n: int, similarity: float) -> tuple[int, list[list[int]], int]:
         mask = [0] * words
         mask[b // per_word] = ((1 << bits) - 1) << (b % per_word * bits)
         masks.append(mask)
-    f = flip_rate(similarity)
-    return words, masks, math.floor(64 * words * f + 2 * math.sqrt(64 * words * f * (1 - f)))
+    return words, masks, math.floor(64 * words * f + 5 * math.sqrt(64 * words * f * (1 - f)))
 
 
 def _route(masks: list[list[int]], batches):
@@ -318,6 +341,41 @@ def _similar_stars(similarity: float, batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
+def _few_sets(size: int, batches):
+    for batch in batches:
+        docs, sets = [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # Every text: one of many words may still have few different shingles.
+            if 0 < len(found := shingle_set(text, size)) <= FEW:
+                docs.append(doc)
+                sets.append(found.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "grams"])
+
+
+def _prefixes(similarity: float, common: dict[int, int], batches):
+    """(doc, grams) -> a row for each of the rarest shingles, of which similar documents share one."""
+    for batch in batches:
+        rows = []
+        for doc, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = np.array(grams, dtype=np.int64).tobytes()
+            order = sorted(grams, key=lambda g: (common.get(g, 0), g))
+            rows.extend((doc, g, data, len(grams)) for g in order[: len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1])
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "component", "shingles", "n"])
+
+
+def _few_edges(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    """Star edges (u, v) of all similar documents of FEW shingles or fewer; exact."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = Table(texts.mapInArrow(partial(_few_sets, size), "doc long, grams array<long>"), "near-few")
+    total = few.df.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    counts = few.df.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    common = {r["g"]: r["n"] for r in counts.where(F.col("n") > max(64, total // COMMON)).collect()}  # COMMON rows at most
+    sets = Table(few.df.mapInArrow(partial(_prefixes, similarity, common), "doc long, component long, shingles binary, n long"), "near-prefixes")
+    return _exact_edges(sets, sets.df.count(), similarity)
+
+
 def _exact_components(docs: DataFrame, loose: Table, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
     """(doc, component) of all documents, from candidate sets ``loose`` (doc, component)."""
     groups = Table(loose.df.groupBy("component").agg(F.count("*").alias("rows")).where("rows > 1"), "near-groups")
@@ -326,6 +384,13 @@ def _exact_components(docs: DataFrame, loose: Table, id_col: str, text_col: str,
     chosen = F.broadcast(members.df) if total <= SMALL_IDS else members.df
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc").select("doc", "component", "text")
     sets = Table(texts.mapInArrow(partial(_shingle_sets, size), "doc long, component long, shingles binary, n long"), "near-sets")
+    edges = _exact_edges(sets, total, similarity).unionByName(_few_edges(docs, id_col, text_col, size, similarity))
+    found = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("exact"))
+    return loose.df.select("doc").join(found, "doc", "left").select("doc", F.coalesce("exact", "doc").alias("component"))
+
+
+def _exact_edges(sets: Table, total: int, similarity: float) -> DataFrame:
+    """Star edges (u, v) within each component of ``sets`` (doc, component, shingles, n; ``total`` rows)."""
     all_shingles = sets.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows, shingles = max(SET_ROWS, total // LONG_ROUTES), max(SET_SHINGLES, all_shingles // LONG_ROUTES)
     parts = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
@@ -338,9 +403,7 @@ def _exact_components(docs: DataFrame, loose: Table, id_col: str, text_col: str,
         .select("component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc", "shingles")
     )
     group = ["component", "a", "b"]
-    edges = chunked.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_similar_stars, similarity), "u long, v long")
-    found = connected_components(edges).select(F.col("node").alias("doc"), F.col("component").alias("exact"))
-    return loose.df.select("doc").join(found, "doc", "left").select("doc", F.coalesce("exact", "doc").alias("component"))
+    return chunked.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_similar_stars, similarity), "u long, v long")
 
 
 # ---- operators -------------------------------------------------------------------------------------------------

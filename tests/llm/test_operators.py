@@ -379,3 +379,15 @@ def test_html_words_of_wrappers_and_ids_lose_no_article():
     teasers = "<article>One</article><article>Two</article>"
     assert set(want) <= set(text(f"<body><div>{story}</div>{teasers}"))
     assert text(f"<body><div>{story}</div><div class='comments'>" + "<div class='comment'>Nice one, thanks for it.</div>" * 9 + "</div>") == want
+
+
+def test_near_duplicates_of_few_words_are_found(spark):
+    body = []
+    for i in range(60):  # four of five shingles, and five of six
+        for n in (8, 9):
+            words = [f"w{i}x{n}x{j}" for j in range(n)]
+            body += [" ".join(words), " ".join([*words, "more"])]
+    df = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(body))}
+    assert simhash.worst_flip_rate(0.8, 3) > 0.18 > simhash.worst_flip_rate(0.8, simhash.FEW) >= simhash.flip_rate(0.8)
