@@ -33,7 +33,7 @@ PIECE = 1 << 20
 
 @functools.lru_cache(maxsize=1)
 def _letter_codes() -> np.ndarray:
-    """Code point -> itself for letters, BLANK for all else (planes above the first: a letter)."""
+    """Code point of the first plane -> itself for letters, BLANK for all else."""
     table = np.full(1 << 16, BLANK, dtype=np.int64)
     for c in range(1 << 16):
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
@@ -47,6 +47,9 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(text), PIECE):  # two letters of overlap keep n-grams across pieces
         raw = np.frombuffer(text[max(0, at - 2) : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         code = np.where(raw < 1 << 16, _letter_codes()[np.minimum(raw, (1 << 16) - 1)], raw)
+        for c in np.unique(raw[raw >= 1 << 16]).tolist():
+            if not chr(c).isalpha():
+                code[raw == c] = BLANK
         code = np.concatenate([[BLANK] if at == 0 else [], code, [BLANK] if at + PIECE >= len(text) else []]).astype(np.int64)
         skip = 0 if at == 0 else 2
         one, two = code[skip:], ((code[:-1] << 21) | code[1:])[max(0, skip - 1) :]

@@ -391,3 +391,8 @@ def test_near_duplicates_of_few_words_are_found(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(df).collect()}
     assert got == {i: i // 2 * 2 for i in range(len(body))}
     assert simhash.worst_flip_rate(0.8, 3) > 0.18 > simhash.worst_flip_rate(0.8, simhash.FEW) >= simhash.flip_rate(0.8)
+
+
+def test_symbols_above_the_first_plane_are_no_letters():
+    profiles = langid.Profiles({"en": langid.ranked(*langid.ngram_counts(EN), 400)})
+    assert profiles.predict("🎵 😀😀 🚀")[0] == "und" and profiles.predict("𠀀𠀁 🎵")[0] == "en"
