@@ -396,3 +396,18 @@ def test_near_duplicates_of_few_words_are_found(spark):
 def test_symbols_above_the_first_plane_are_no_letters():
     profiles = langid.Profiles({"en": langid.ranked(*langid.ngram_counts(EN), 400)})
     assert profiles.predict("🎵 😀😀 🚀")[0] == "und" and profiles.predict("𠀀𠀁 🎵")[0] == "en"
+
+
+def test_mixing_keeps_weights_of_many_sources(spark):
+    weights = {"hot": 1e10**0.9} | {f"big{i}": 2e9**0.9 for i in range(10)} | {f"small{i}": 1e4**0.9 for i in range(8000)}
+    period = mixing.fine_period(weights, mixing.PERIOD)
+    shares, total = mixing.whole_shares(weights, period), sum(weights.values())
+    assert all(abs(shares[k] / period / (w / total) - 1) < 0.05 for k, w in weights.items())
+    # More sources than the least period has slots: an error before.
+    body = [(i, "x" * 99, "hot") for i in range(2000)] + [(5000 + i, "x" * 99, f"s{i}") for i in range(30)]
+    df = spark.createDataFrame(body, "doc_id long, text string, source string")
+    wanted = {"hot": 0.97} | {f"s{i}": 0.001 for i in range(30)}
+    got = mixing.mix(df, wanted, block_chars=100, period=8).collect()
+    assert {r["doc_id"] for r in got} == {b[0] for b in body} and len({(r["doc_id"], r["epoch"]) for r in got}) == len(got)
+    hot = sum(r["chars"] for r in got if r["source"] == "hot")
+    assert abs(hot / sum(r["chars"] for r in got) - 0.97) < 0.01 and len(got) == len({r["slot"] for r in got})
