@@ -372,7 +372,7 @@ def test_secrets_of_every_alphabet_are_tested(spark):
 def test_html_words_of_wrappers_and_ids_lose_no_article():
     story = "<h1>Title</h1><p>A story that is long enough to be the most of its page, told in one paragraph.</p>"
     want = ["Title", "A story that is long enough to be the most of its page, told in one paragraph."]
-    text = lambda html: [t for _, t in html_extract.article_blocks(html)]
+    text = html_extract.article_blocks
     for mark in ("class='has-sidebar'", "class='content-with-sidebar'", "class='entry-header'", "id='related-work'", "class='search'"):
         assert text(f"<body><div {mark}>{story}</div><div class='sidebar'>Side</div><div class='cookie-banner'>Ok?</div>") == want
     assert text(f"<body><div>{story}</div><h2 id='cookie-recipes'>Recipes</h2><section id='social-networks'><p>More</p></section>") == [*want, "Recipes", "More"]
