@@ -1,19 +1,22 @@
 """Toxicity by weak supervision.
 
-1. Voters. A bounded sample of labelled rows (at most about SAMPLE_ROWS of each label, chosen by a hash of the id)
-   yields a lexicon: words and word beginnings that occur in several toxic documents (copies count once) and hardly in
-   others. Each entry is a voter that votes toxic or abstains. A pattern voter votes toxic on repeated matches, and one
-   votes clean when no entry matches.
-2. Generative label model. Voters' accuracies are estimated from how they agree with each other and with the known
-   labels, by expectation maximisation; voters that agree with each other beyond what the model explains are
-   correlated, and share one vote.
-3. A linear (logistic) classifier on voter features is trained on the posterior labels. It scores every text.
+1. Voters. A bounded sample of labelled rows (at most about SAMPLE_ROWS of each label, chosen by a hash of the id) yields
+   lexicon voters: a word, or the first letters of words, seen at least so many times (LEVELS). A voter is taken when it
+   occurs in more sets of toxic near copies than chance allows, by a bound on the binomial tail held to a false-discovery
+   rate of FDR (Benjamini-Hochberg over all terms tested). Pattern voters look at form: disguised entries (digits, signs
+   and repeated letters undone), entries in bulk, shouting, exclamation, and, as votes for clean, texts without a match and long
+   texts with hardly any.
+2. Generative label model. Voters' chances under either class, and the posterior class of each text, are estimated by
+   expectation maximisation from the votes, starting from their majority. The known label is one more voter, which may be
+   wrong: its accuracy is estimated as well, so mislabelled rows do not teach. Voters that agree beyond what the class
+   explains are correlated; each counts as one over the sum of its squared residual correlations.
+3. A linear (logistic) classifier on the voters is trained on the posteriors, not on the labels. It scores every text.
 
 Learning is on the driver, on the sample alone; scoring is one pass over whole texts without a shuffle.
 
 Defined results: null and empty texts have no matches and get the score of such a text; with rows of only one label (or
-none) to learn from, every score is that label's share; repeated rows are each scored; an empty table gives an empty
-result.
+none) to learn from, every score is that label's share; repeated rows are each scored; ids of any type, nulls too, are
+kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import functools
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,129 +36,172 @@ from halocline.llm._common import whole_text_batches
 
 SAMPLE_ROWS = 4000
 #: Letters of word beginnings; 0 stands for whole words.
-STEMS = (0, 4, 5, 6)
-#: Sets of near copies (of the sample's toxic documents) with a lexicon entry, at least; and their share of all sets.
-MIN_SETS, MIN_SHARE = 5, 0.01
-#: A lexicon entry occurs this many times as often in toxic documents as in others, at least.
-MIN_RATIO = 20.0
-LEXICON = 400
+STEMS = (0, 4, 5, 6, 7)
+#: How often a term must be seen to be a voter's match.
+LEVELS = (1, 2, 3, 5)
+FDR = 0.01
+#: A voter whose toxic sets agree with a better one's to this share (Jaccard) is left out.
+SAME = 0.9
+#: Named apart from the lexicon; the last two vote clean.
+PATTERNS = ("disguised", "bulk", "shouting", "exclaiming", "no match", "long and clean")
 WORD = re.compile(r"[^\W\d_]+")
+#: Disguises, undone: digits and signs for letters, and letters repeated.
+LEET = str.maketrans("013457@$!+", "oieastasit")
+AGAIN = re.compile(r"(.)\1+")
 
+Term = tuple[int, str]
 
-def terms(text: str) -> set[tuple[int, str]]:
-    """(0, word) and (k, first k letters) of the lower-case words of a text."""
-    words = set(WORD.findall(text.lower()))
-    out = {(0, w) for w in words}
-    for k in STEMS[1:]:
-        out.update((k, w[:k]) for w in words if len(w) > k)
-    return out
 
+def terms(word: str) -> list[Term]:
+    """(0, word) and (k, first k letters)."""
+    return [(0, word), *((k, word[:k]) for k in STEMS[1:] if len(word) > k)]
 
-@dataclass
-class ToxicityModel:
-    lexicon: dict[tuple[int, str], int]
-    weights: np.ndarray
-    constant: float | None = None
 
-    def features(self, text: str) -> np.ndarray:
-        return features(text, self.lexicon)
+def words_of(text: str) -> Counter:
+    return Counter(WORD.findall(text.lower()))
 
-    def score(self, text: str) -> float:
-        if self.constant is not None:
-            return self.constant
-        return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
+class _Terms(dict):
+    """Word -> its terms among ``wanted``, remembered for up to MEMORY words."""
 
-def matches(text: str, lexicon: dict[tuple[int, str], int]) -> tuple[set[int], int, int]:
-    """(entries found, words that match an entry, all words)."""
-    words = WORD.findall(text.lower())
-    found: set[int] = set()
-    hits = 0
-    for word, n in Counter(words).items():
-        own = [lexicon[t] for k in STEMS if (t := (k, word[:k] if k else word)) in lexicon and (not k or len(word) > k)]
-        if own:
-            found.update(own)
-            hits += n
-    return found, hits, len(words)
+    MEMORY = 1 << 18
+
+    def __init__(self, wanted):
+        super().__init__()
+        self.wanted = wanted
 
+    def __missing__(self, word: str) -> list[Term]:
+        if len(self) >= self.MEMORY:
+            self.clear()
+        found = self[word] = [t for t in terms(word) if t in self.wanted]
+        return found
 
-def features(text: str, lexicon: dict[tuple[int, str], int]) -> np.ndarray:
-    return _features(text, *matches(text, lexicon))
+    def counts(self, words: Counter) -> dict[Term, int]:
+        out: dict[Term, int] = {}
+        for w, n in words.items():
+            for t in self[w]:
+                out[t] = out.get(t, 0) + n
+        return out
 
 
-def _features(text: str, found: set[int], hits: int, n: int) -> np.ndarray:
-    """Intercept; any match; log of matching words; of different entries; share of matching words; shouting."""
-    shout = min(1.0, text.count("!") / max(n, 1))
-    return np.array([1.0, float(bool(found)), np.log1p(hits), np.log1p(len(found)), min(1.0, 20 * hits / max(n, 1)), shout])
+class _All:
+    def __contains__(self, _) -> bool:
+        return True
 
 
 def _copies_key(text: str) -> int:
-    """Nearly equal texts mostly share it: the least hash of a word."""
-    return min((zlib.crc32(w.encode()) for w in set(WORD.findall(text.lower()))), default=0)
-
-
-def find_lexicon(toxic: list[str], clean: list[str]) -> dict[tuple[int, str], int]:
-    """Entries -> voter numbers, most telling first; an entry that a shorter one covers is left out."""
-    pos, neg = Counter(), Counter()
-    sets: dict[int, set] = {}
-    for t in toxic:
-        sets.setdefault(_copies_key(t), set()).update(terms(t))
-    for found in sets.values():
-        pos.update(found)
-    for t in clean:
-        neg.update(terms(t))
+    """Nearly equal texts mostly share it, others hardly ever: the least hash of three words in a row."""
+    words = WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+
+
+def find_lexicon(toxic: list[str], clean: list[str]) -> list[tuple[Term, int]]:
+    """The voters (term, level), most telling first."""
+    sets: list[dict[int, set]] = [{}, {}]
+    tested, wanted = 0, _All()
+    for y, texts in ((1, toxic), (0, clean)):
+        of = _Terms(wanted)
+        for text in texts:
+            found = sets[y].setdefault(_copies_key(text), set())
+            for term, n in of.counts(words_of(text)).items():
+                found.update((term, k) for k in LEVELS if n >= k)
+        if y:
+            often = Counter(term for found in sets[1].values() for term, k in found if k == 1)
+            tested, wanted = len(often), {term for term, n in often.items() if n > 1}
+    share = len(sets[1]) / (len(sets[0]) + len(sets[1]))
+    where: dict[tuple[Term, int], set[int]] = {}
+    for number, found in enumerate(sets[1].values()):
+        for v in found:
+            if v[0] in wanted:
+                where.setdefault(v, set()).add(number)
+    against: Counter = Counter()
+    for found in sets[0].values():
+        against.update(found)
     scored = []
-    for term, n in pos.items():
-        if n >= max(MIN_SETS, MIN_SHARE * len(sets)):
-            ratio = ((n + 0.5) / (len(sets) + 1)) / ((neg[term] + 0.5) / (len(clean) + 1))
-            if ratio >= MIN_RATIO and neg[term] <= 0.02 * n:
-                scored.append((-n, term[0] or 99, term[1]))
-    out: dict[tuple[int, str], int] = {}
-    for _, k, word in sorted(scored):
-        key = (0 if k == 99 else k, word)
-        if not any((s, word[:s]) in out for s in STEMS[1:] if s < (len(word) if k == 99 else k)):
-            out[key] = len(out)
-        if len(out) >= LEXICON:
-            break
+    for v, numbers in where.items():
+        n, m = len(numbers), against[v]
+        rate = n / (n + m)
+        if n > 1 and rate > share:
+            # Chernoff's bound on the chance of n or more toxic sets among n + m.
+            bound = n * np.log(rate / share) + (m * np.log((1 - rate) / (1 - share)) if m else 0.0)
+            scored.append((-bound, v[1], -(v[0][0] or 99), v))
+    scored.sort()
+    tests = max(1, tested * len(LEVELS))
+    last = max((i for i, x in enumerate(scored, 1) if x[0] <= np.log(FDR * i / tests)), default=0)
+    out: list[tuple[Term, int]] = []
+    for _, _, _, v in scored[:last]:
+        own = where[v]
+        if not any(len(own & where[o]) >= SAME * len(own | where[o]) for o in out):
+            out.append(v)
     return out
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """votes (rows, voters) in {-1 clean, 0 abstain, 1 toxic}, known labels (rows) -> (posteriors, voters' weights).
+@dataclass
+class ToxicityModel:
+    voters: list[tuple[Term, int]] = field(default_factory=list)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + len(PATTERNS)))
+    constant: float | None = None
+
+    def __post_init__(self) -> None:
+        self.index: dict[Term, list[tuple[int, int]]] = {}
+        for i, (term, level) in enumerate(self.voters):
+            self.index.setdefault(term, []).append((level, i))
+        self.of = _Terms(self.index)
+        self.whole = {AGAIN.sub(r"\1", t) for (k, t), _ in self.voters if not k}
+
+    def votes(self, text: str) -> np.ndarray:
+        """One 1 (toxic), 0 (abstain) or -1 (clean) of each lexicon voter and of each of PATTERNS."""
+        words = words_of(text)
+        seen = self.of.counts(words)
+        hits = sum(n for w, n in words.items() if self.of[w])
+        out = np.zeros(len(self.voters) + len(PATTERNS), dtype=np.int8)
+        for t, n in seen.items():
+            for level, i in self.index[t]:
+                if n >= level:
+                    out[i] = 1
+        size, lexical = words.total(), bool(out.any())
+        tokens = set(text.split())
+        disguises = (t for t in tokens if not t.isalpha() or AGAIN.search(t)) if self.whole else ()
+        masked = any(AGAIN.sub(r"\1", t.strip(".,;:!?()\"'").lower().translate(LEET)) in self.whole and t.strip(".,;:!?()\"'").lower() not in words for t in disguises)
+        shouting = 2 * sum(map(str.isupper, tokens)) > len(tokens)
+        out[len(self.voters) :] = (masked, hits > 0.02 * size and hits > 1, shouting, text.count("!") > 0.2 * max(size, 1), -(not lexical and not masked), -(size >= 200 and hits <= 0.002 * size))
+        return out
+
+    def score(self, text: str) -> float:
+        if self.constant is not None:
+            return self.constant
+        return float(1 / (1 + np.exp(-np.clip(self.weights[0] + self.votes(text) @ self.weights[1:], -30, 30))))
+
+
+def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """votes (rows, voters) in {-1 clean, 0 abstain, 1 toxic} -> (posteriors, what each voter counts: 0 to 1).
 
-    Each voter has a chance of each vote under either label. Correlated voters (residual agreement far beyond chance)
-    divide one vote among themselves. Known labels are one more voter, whose accuracy is estimated like the others'.
+    Starts from the majority of the votes; nothing but the votes' own polarity names the classes.
     """
-    votes = np.column_stack([votes, np.where(known == 1, 1, -1)])
-    rows, voters = votes.shape
-    kinds = [(votes == v) for v in (-1, 0, 1)]
-    posterior = np.where(known == 1, 0.95, 0.05)
-    share = np.ones(voters)
+    kinds = [(votes == v).astype(float) for v in (-1, 0, 1)]
+    posterior = 1 / (1 + np.exp(-2.0 * np.clip((votes > 0).sum(1) - (votes < 0).sum(1), -2, 2)))
+    counts = np.ones(votes.shape[1])
     for turn in range(rounds):
-        p1 = np.stack([(k * posterior[:, None]).sum(0) + 0.5 for k in kinds]) / (posterior.sum() + 1.5)
-        p0 = np.stack([(k * (1 - posterior)[:, None]).sum(0) + 0.5 for k in kinds]) / ((1 - posterior).sum() + 1.5)
-        gain = sum(k * (np.log(p1[i]) - np.log(p0[i])) for i, k in enumerate(kinds))
-        if turn == rounds // 2:
-            # Correlations that the label does not explain.
-            cast = (votes != 0).astype(float)
-            expected = posterior[:, None] * (1 - p1[1]) + (1 - posterior)[:, None] * (1 - p0[1])
-            rest = cast - expected
+        p1 = np.stack([k.T @ posterior + 0.5 for k in kinds]) / (posterior.sum() + 1.5)
+        p0 = np.stack([k.T @ (1 - posterior) + 0.5 for k in kinds]) / ((1 - posterior).sum() + 1.5)
+        gain = sum(k * (np.log(a) - np.log(b)) for k, a, b in zip(kinds, p1, p0, strict=True))
+        if turn >= 2:
+            # Correlations that the class does not explain, of votes as numbers.
+            rest = votes - np.outer(posterior, p1[2] - p1[0]) - np.outer(1 - posterior, p0[2] - p0[0])
             size = np.sqrt((rest**2).sum(0)) + 1e-9
-            share = 1 / np.maximum(1.0, (np.abs(rest.T @ rest) / np.outer(size, size) > 0.3).sum(0))
-            share[-1] = 1.0
+            counts = 1 / np.maximum(1.0, ((rest.T @ rest / np.outer(size, size)) ** 2).sum(0))
         prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-        logit = np.log(prior / (1 - prior)) + gain @ share
-        posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return posterior, share
+        posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain @ counts, -30, 30)))
+    return posterior, counts
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft targets, by Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """Logistic regression on soft targets, by Newton steps; the intercept (first column) is not shrunk."""
+    w, shrink = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - target) + ridge * len(target) * w / 10
-        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + ridge * len(target) / 10 * np.eye(len(w))
+        grad = x.T @ (p - target) + shrink * w
+        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(shrink)
         step = np.linalg.solve(hess, grad)
         w -= step
         if np.abs(step).max() < 1e-7:
@@ -163,23 +209,16 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1e-2, rounds: i
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """The model of (texts, labels), in the order given."""
+def fit(texts: list[str], labels: list[int], weak: bool = True) -> ToxicityModel:
+    """The model of (texts, labels); without ``weak`` the classifier is trained on the labels themselves (for comparison)."""
     known = np.array(labels, dtype=int)
     if not len(known) or known.min() == known.max():
-        return ToxicityModel({}, np.zeros(6), float(known.mean()) if len(known) else 0.0)
+        return ToxicityModel(constant=float(known.mean()) if len(known) else 0.0)
     toxic, clean = ([t for t, y in zip(texts, labels, strict=True) if y == v] for v in (1, 0))
-    lexicon = find_lexicon(toxic, clean)
-    votes = np.zeros((len(texts), len(lexicon) + 2), dtype=np.int8)
-    x = np.zeros((len(texts), 6))
-    for i, t in enumerate(texts):
-        found, hits, n = matches(t, lexicon)
-        x[i] = _features(t, found, hits, n)
-        votes[i, list(found)] = 1
-        votes[i, -2] = 1 if hits >= 2 else 0
-        votes[i, -1] = 0 if found else -1
-    posterior, _ = label_model(votes, known)
-    return ToxicityModel(lexicon, fit_linear(x, posterior))
+    model = ToxicityModel(find_lexicon(toxic, clean))
+    votes = np.stack([model.votes(t) for t in texts])
+    target = label_model(np.column_stack([votes, np.where(known == 1, 1, -1)]))[0] if weak else known
+    return ToxicityModel(model.voters, fit_linear(np.column_stack([np.ones(len(votes)), votes]), target))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_ROWS) -> ToxicityModel:
