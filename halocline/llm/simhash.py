@@ -3,8 +3,8 @@
 A document's fingerprint has a bit set where over half of its shingle hashes have it. Two searches share one engine:
 
 * ``simhash_groups``: 64-bit fingerprints linked at ``max_bits`` differing bits or fewer. Exact: the bits are cut into
-  blocks, and of two linked fingerprints at least ``blocks - max_bits`` blocks are equal, so every choice of that many
-  blocks is a route, and each linked pair meets on one of them.
+  BLOCKS blocks, and two linked fingerprints differ in at most ``max_bits // BLOCKS`` bits of one of them, so for each
+  block the whole table is indexed in the Gray order of the fingerprints turned to begin with that block (a route).
 * ``near_duplicate_groups``: shingle similarity (Jaccard) of ``similarity`` or more. One fingerprint word cannot tell
   0.8 from less, so fingerprints are several words long, as many as give RECALL of pairs just at the threshold an equal
   band of bits; a band is a route. Candidates differ in at most the bits expected at the threshold, for the shingle
@@ -13,24 +13,29 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
   where their sets are compared. The candidates' connected sets are then checked exactly: within each, documents are linked when their shingle sets
   are as similar as asked for, so no document is grouped that has no such partner.
 
-Routes are shuffled to tasks. There, the fingerprints of each route key are sorted by Gray rank, so that neighbours
-share long bit patterns. FAN neighbours make a node, FAN nodes an upper node; a node holds the pattern of the bits that
-all below it agree on. A pair of nodes whose agreed bits already differ in more than the limit is dropped whole; else
-the search goes one level down, where more bits are agreed on and differences add up.
+The index of a route is a tree over the Gray order, where neighbours share long bit patterns. Its upper nodes are ranges
+of that order: prefixes of the block, as long as keep a range near RANGE_ROWS of n spread fingerprints. Ranges are the
+tasks; two ranges meet only if their prefixes differ in no more bits than the block may, so all other pairs of ranges are
+pruned before anything is read. Within a range, FAN neighbours make a node, FAN nodes an upper node; a node holds the
+pattern of the bits that all below it agree on. Of a pair of nodes, differences add up from the block's and from all
+agreed bits: as soon as either exceeds its limit the pair is dropped whole, else the search goes one level down, where
+more bits are agreed on.
 
-Scale: equal fingerprints are folded into one row before the search. A route key with more than its share of rows is
-cut into chunks, and pairs of chunks go to different tasks. A task sends a star for each connected set it found, never
-pairs, and the stars go to ``connected_components``. The exact check reads the shingles of documents with a candidate
-partner only; a connected set with more than its share of rows or shingles is cut into chunks in the same way.
+Scale: equal fingerprints are folded into one row before the search. A range with more than its share of rows is cut into
+chunks of at most MOST_ROWS, and pairs of chunks go to different tasks. A task sends a star for each connected set it
+found, never pairs, and the stars go to ``connected_components``. The exact check reads the shingles of documents with a
+candidate partner only; a connected set with more than its share of rows or shingles is cut into chunks in the same way.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, and links like any other; equal
-texts always share a component; ids should be unique (rows of one id share their component); an empty table gives an
-empty result.
+texts always share a component; ids must be whole numbers (others are an error) and should be unique (rows of one id
+share their component); rows with a null id have a fingerprint, no component and link nothing, and the filter keeps them;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import lru_cache, partial
 from itertools import combinations
 
@@ -46,8 +51,10 @@ from halocline.llm._components import connected_components, label_min, star_edge
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 FAN = 8
-#: Rows of one route key that stay together, at least; and the number of longer keys, at most.
-ROUTE_ROWS, LONG_ROUTES = 2048, 20_000
+#: Blocks of the exact search, and rows of a range that its prefix length aims at.
+BLOCKS, RANGE_ROWS = 3, 2048
+#: Rows of one range or band that stay together, at least and at most; between them, longer ones number LONG_ROUTES.
+ROUTE_ROWS, MOST_ROWS, LONG_ROUTES = 4096, 1 << 16, 20_000
 #: Share of the pairs just at the similarity threshold that must meet on a band.
 RECALL = 0.99
 #: Documents of so many shingles or fewer take the exact route too; one in COMMON shingles there may be a common one.
@@ -55,6 +62,8 @@ FEW, COMMON = 16, 1 << 16
 SHINGLES_AT_ONCE = 1 << 15
 #: Rows and shingles of a connected set that the exact check keeps together, at least.
 SET_ROWS, SET_SHINGLES = 1024, 1 << 20
+#: And at most.
+MOST_SET_ROWS, MOST_SET_SHINGLES = 1 << 13, 1 << 23
 
 
 def shingle_digests(text: str, size: int):
@@ -109,14 +118,27 @@ def _fingerprints(size: int, words: int, batches):
 # ---- routes ----------------------------------------------------------------------------------------------------
 
 
-def exact_masks(n: int, max_bits: int) -> list[list[int]]:
-    """Masks over one 64-bit word; the blocks are as many as keep a route key near 64 of n spread fingerprints."""
-    for blocks in range(max_bits + 1, max_bits + 5):
-        if blocks > 64 or n / 2 ** (64 * (blocks - max_bits) // blocks) <= 64:
-            break
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [[sum(x)] for x in combinations(parts, blocks - max_bits)]
+def gray_routes(n: int, max_bits: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Blocks (first bit from the top, bits), the most bits that differ in one of them, and the ranges' prefix length."""
+    edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
+    prefix = min(20, max(0, math.ceil(math.log2(max(n, 1) / RANGE_ROWS))))
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)], max_bits // BLOCKS, prefix
+
+
+def _ranges(blocks: list[tuple[int, int]], most: int, prefix: int, batches):
+    """(fp, rep) -> a row for each range that the fingerprint may meet a partner in: its own (key) and the other's."""
+    flips = [sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(prefix), k)]
+    for batch in batches:
+        if not len(batch):
+            continue
+        word = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=">u8").astype(np.uint64)
+        for route, (first, _) in enumerate(blocks):
+            turned = (word << np.uint64(first)) | (word >> np.uint64(64 - first)) if first else word
+            key = (turned >> np.uint64(64 - prefix)).astype(np.int64) if prefix else np.zeros(len(word), dtype=np.int64)
+            data = turned.astype(">u8").tobytes()
+            fp = pa.array([data[i : i + 8] for i in range(0, len(data), 8)], pa.binary())
+            for flip in flips:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), route, dtype=np.int32)), pa.array(key), pa.array(key ^ flip), fp, batch.column(1)], names=["route", "key", "other", "fp", "rep"])
 
 
 def flip_rate(similarity: float) -> float:
@@ -159,7 +181,7 @@ def band_plan(n: int, similarity: float) -> tuple[int, list[list[int]], int]:
 
 
 def _route(masks: list[list[int]], batches):
-    """(fp, rep) -> a row for each route: (route, key, fp, rep)."""
+    """(fp, rep) -> a row for each band: (route, key, other = key, fp, rep)."""
     for batch in batches:
         if not len(batch):
             continue
@@ -169,7 +191,8 @@ def _route(masks: list[list[int]], batches):
             for w, m in enumerate(mask):
                 if m:
                     key ^= words[:, w] & np.uint64(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), r, dtype=np.int32)), pa.array(key.view(np.int64)), batch.column(0), batch.column(1)], names=["route", "key", "fp", "rep"])
+            keys = pa.array(key.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), r, dtype=np.int32)), keys, keys, batch.column(0), batch.column(1)], names=["route", "key", "other", "fp", "rep"])
 
 
 # ---- the index -------------------------------------------------------------------------------------------------
@@ -203,13 +226,24 @@ def _levels(words: np.ndarray, group: np.ndarray):
         group = group[heads]
 
 
-def linked_stars(words: np.ndarray, group: np.ndarray, reps: np.ndarray, max_bits: int, at_once: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups (rows sorted by group), as star edges between ``reps``."""
-    order = np.lexsort((*gray_rank(words).T[::-1], group))
-    words, reps = words[order], reps[order]
-    levels, roots = _levels(words, group)
-    a = np.arange(len(roots))
-    stack = [(len(levels) - 1, a, a)]
+def linked_stars(words: np.ndarray, group: np.ndarray, reps: np.ndarray, max_bits: int, block: tuple[int, int] = (64, 64), side: np.ndarray | None = None, at_once: int = 1 << 19, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within groups (rows sorted by group), as star edges between ``reps``.
+
+    ``block``: (bits, most): of the first ``bits`` bits at most ``most`` may differ. ``side`` (0 or 1): a group with both
+    sides is searched between them only. ``tally`` counts the tests of nodes and of leaves.
+    """
+    tree = group * 2 + (0 if side is None else side)
+    order = np.lexsort((*gray_rank(words).T[::-1], tree))
+    words, reps, tree = words[order], reps[order], tree[order]
+    levels, roots = _levels(words, tree)
+    high = np.zeros(words.shape[1], dtype=np.uint64)
+    high[0] = np.uint64(((1 << block[0]) - 1) << (64 - block[0]))
+    limited = block[1] < block[0]
+    # Roots are in the order of (group, side): of a group with two, the pair of both; else the pair of the root itself.
+    same = roots[1:] // 2 == roots[:-1] // 2
+    first = np.flatnonzero(np.r_[True, ~same]) if len(roots) else np.zeros(0, dtype=np.int64)
+    a, b = first, first + np.r_[same, False][first] if len(roots) else first
+    stack = [(len(levels) - 1, a, b.astype(np.int64))]
     found_a, found_b, held = [], [], 0
     while stack:
         level, a, b = stack.pop()
@@ -238,8 +272,13 @@ def linked_stars(words: np.ndarray, group: np.ndarray, reps: np.ndarray, max_bit
             i, j = child[a[pair]] + cell // n_b[pair], child[b[pair]] + cell % n_b[pair]
             once = i <= j
             i, j = i[once], j[once]
-            differ = np.bitwise_count((pattern[i] ^ pattern[j]) & agreed[i] & agreed[j]).sum(axis=1, dtype=np.int64)
-            keep = differ <= max_bits
+            apart = (pattern[i] ^ pattern[j]) & agreed[i] & agreed[j]
+            keep = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= max_bits
+            if limited:
+                keep &= np.bitwise_count(apart & high).sum(axis=1, dtype=np.int64) <= block[1]
+            if tally is not None:
+                tally["leaves" if level == 1 else "nodes"] += len(i)
+                tally["pruned"] += int((~keep).sum()) if level > 1 else 0
             if keep.any():
                 stack.append((level - 1, i[keep], j[keep]))
     if not found_a:
@@ -249,15 +288,25 @@ def linked_stars(words: np.ndarray, group: np.ndarray, reps: np.ndarray, max_bit
     return star_edges(reps[touched], at[: len(a)], at[len(a) :])
 
 
-def _search(max_bits: int, batches, rows_at_once: int = 1 << 17):
-    """Rows sorted by (route, key, a, b) -> star edges; a group is never cut."""
+GROUP = ["route", "lo", "hi", "a", "b"]
+
+
+def _search(max_bits: int, blocks: list[tuple[int, int]], batches, rows_at_once: int = 1 << 17):
+    """Rows sorted by GROUP -> star edges; a group is never cut. ``blocks``: (bits, most) of each route, if limited."""
 
     def solve(table: pa.Table):
-        words = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype=">u8").astype(np.uint64).reshape(table.num_rows, -1)
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("route", "key", "a", "b")], axis=1)
-        group = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
-        u, v = linked_stars(words, group, table.column("rep").to_numpy(), max_bits)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        us, vs = [], []
+        route = table.column("route").to_numpy()
+        cuts = [0, *(np.flatnonzero(route[1:] != route[:-1]) + 1).tolist(), len(route)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            part = table.slice(x, y - x)
+            words = np.frombuffer(b"".join(part.column("fp").to_pylist()), dtype=">u8").astype(np.uint64).reshape(part.num_rows, -1)
+            keys = np.stack([part.column(c).to_numpy().astype(np.int64) for c in GROUP], axis=1)
+            group = np.cumsum(np.r_[0, (keys[1:] != keys[:-1]).any(axis=1)])
+            u, v = linked_stars(words, group, part.column("rep").to_numpy(), max_bits, blocks[route[x]] if blocks else (64, 64), part.column("side").to_numpy().astype(np.int64))
+            us.append(u)
+            vs.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     held, n = [], 0
     for batch in batches:
@@ -268,10 +317,9 @@ def _search(max_bits: int, batches, rows_at_once: int = 1 << 17):
         if n < rows_at_once:
             continue
         table = pa.Table.from_batches(held)
-        last = [table.column(c)[n - 1].as_py() for c in ("route", "key", "a", "b")]
         same = np.ones(n, dtype=bool)
-        for c, x in zip(("route", "key", "a", "b"), last, strict=True):
-            same &= table.column(c).to_numpy() == x
+        for c in GROUP:
+            same &= table.column(c).to_numpy() == table.column(c)[n - 1].as_py()
         cut = n - int(same.sum())
         if cut:
             yield solve(table.slice(0, cut))
@@ -392,11 +440,12 @@ def _exact_components(docs: DataFrame, loose: Table, id_col: str, text_col: str,
 def _exact_edges(sets: Table, total: int, similarity: float) -> DataFrame:
     """Star edges (u, v) within each component of ``sets`` (doc, component, shingles, n; ``total`` rows)."""
     all_shingles = sets.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows, shingles = max(SET_ROWS, total // LONG_ROUTES), max(SET_SHINGLES, all_shingles // LONG_ROUTES)
+    rows = min(MOST_SET_ROWS, max(SET_ROWS, total // LONG_ROUTES))
+    shingles = min(MOST_SET_SHINGLES, max(SET_SHINGLES, all_shingles // LONG_ROUTES))
     parts = F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
     long = Table(sets.df.groupBy("component").agg(parts.alias("chunks")).where("chunks > 1"), "near-long")
     chunked = (
-        sets.df.join(F.broadcast(long.df), "component", "left")
+        sets.df.join(small(long.df), "component", "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -410,27 +459,40 @@ def _exact_edges(sets: Table, total: int, similarity: float) -> DataFrame:
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, words: int, plan) -> DataFrame:
-    """(id, fp, component); ``plan(n)`` gives masks and the most differing bits for n different fingerprints."""
+    """(id, fp, component); ``plan(n)`` gives, for n different fingerprints, the function that sends them to routes, the
+    routes' number, limits of their blocks, and the most differing bits."""
     spark = docs.sparkSession
     whole_text_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = Table(texts.mapInArrow(partial(_fingerprints, size, words), "doc long, fp binary"), "simhash-rows")
-    folded = Table(rows.df.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "simhash-folded")
+    folded = Table(rows.df.where("doc is not null").groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "simhash-folded")
     total, different = folded.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    masks, max_bits = plan(different)
-    routed = folded.df.select("fp", "rep").mapInArrow(partial(_route, masks), "route int, key long, fp binary, rep long")
-    most = max(ROUTE_ROWS, different * len(masks) // LONG_ROUTES)
-    # Routes without fingerprints' bytes: only keys and counts are shuffled here.
-    long = Table(routed.groupBy("route", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > most), "simhash-long")
+    route, copies, blocks, max_bits = plan(different)
+    routed = folded.df.select("fp", "rep").mapInArrow(route, "route int, key long, other long, fp binary, rep long")
+    most = min(MOST_ROWS, max(ROUTE_ROWS, different * copies // LONG_ROUTES))
+    # Only keys and counts are shuffled here.
+    sizes = routed.where("key = other").groupBy("route", "key").agg(F.count("*").alias("rows"))
+    long = Table(sizes.where(F.col("rows") > most).select("route", "key", F.ceil(F.col("rows") / most).cast("int").alias("chunks")), "simhash-long")
+    parts = small(long.df)
+    # A row of chunk ``own`` meets every chunk of the other range; of its own range, each pair of chunks once.
     chunked = (
-        routed.join(F.broadcast(long.df), ["route", "key"], "left")
-        .withColumn("chunks", F.ceil(F.coalesce("rows", F.lit(1)) / most).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("route", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "rep")
+        routed.join(parts, ["route", "key"], "left")
+        .join(parts.select("route", F.col("key").alias("other"), F.col("chunks").alias("others")), ["route", "other"], "left")
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("chunks", F.lit(1))).cast("int"))
+        .withColumn("their", F.explode(F.sequence(F.lit(0), F.coalesce("others", F.lit(1)) - 1)))
     )
-    group = ["route", "key", "a", "b"]
-    edges = chunked.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_search, max_bits), "u long, v long")
+    before = (F.col("key") < F.col("other")) | ((F.col("key") == F.col("other")) & (F.col("own") <= F.col("their")))
+    placed = chunked.select(
+        "route",
+        F.least("key", "other").alias("lo"),
+        F.greatest("key", "other").alias("hi"),
+        F.when(before, F.col("own")).otherwise(F.col("their")).alias("a"),
+        F.when(before, F.col("their")).otherwise(F.col("own")).alias("b"),
+        F.when(before, 0).otherwise(1).alias("side"),
+        "fp",
+        "rep",
+    )
+    edges = placed.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(partial(_search, max_bits, blocks), "u long, v long")
     components = connected_components(edges)
     labelled = Table(
         folded.df.join(components, folded.df.rep == components.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component")),
@@ -438,19 +500,31 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, size: int, words: int,
     )
     folded.drop()
     long.drop()
-    return attach_groups(rows.df, labelled.df, ["fp"], "n", total).select(F.col("doc").alias(id_col), "fp", "component")
+    known = attach_groups(rows.df.where("doc is not null"), labelled.df, ["fp"], "n", total).select("doc", "fp", "component")
+    nameless = rows.df.where("doc is null").select("doc", "fp", F.lit(None).cast("long").alias("component"))
+    return known.unionByName(nameless).withColumnRenamed("doc", id_col)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) marked for broadcast, if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= SMALL_IDS else df
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id: the smallest id reachable over links of ``max_bits`` or fewer."""
-    got = _groups(docs, id_col, text_col, shingle_words, 1, lambda n: (exact_masks(n, max_bits), max_bits))
+
+    def plan(n: int):
+        blocks, most, prefix = gray_routes(n, max_bits)
+        return partial(_ranges, blocks, most, prefix), BLOCKS, [(bits, most) for _, bits in blocks], max_bits
+
+    got = _groups(docs, id_col, text_col, shingle_words, 1, plan)
     return got.select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component_id: groups of documents whose shingle similarity is ``similarity`` or more, closed over links."""
     words, masks, max_bits = band_plan(docs.count(), similarity)
-    candidates = _groups(docs, id_col, text_col, shingle_words, words, lambda _: (masks, max_bits))
+    candidates = _groups(docs, id_col, text_col, shingle_words, words, lambda _: (partial(_route, masks), len(masks), [], max_bits))
     loose = Table(candidates.select(F.col(id_col).alias("doc"), "component"), "near-loose")
     exact = _exact_components(docs, loose, id_col, text_col, shingle_words, similarity)
     return exact.select(F.col("doc").alias(id_col), F.col("component").alias("component_id"))

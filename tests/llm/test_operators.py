@@ -154,13 +154,73 @@ def test_gray_index_loses_no_link(words):
     assert sorted(zip(u, v, strict=True)) == sorted(zip(*want, strict=True))
 
 
-def test_exact_masks_cover_all_pairs():
+def brute_links(x, most):
+    d = np.bitwise_count(x[:, None] ^ x[None])
+    return {(i, j) for i, j in zip(*np.nonzero(d <= most), strict=True) if i < j}
+
+
+@pytest.mark.parametrize(("n", "rows"), [(1, 2048), (3000, 64), (3000, 1)])
+def test_ranges_bring_all_links_together(monkeypatch, n, rows):
+    """Each linked pair meets in a range that both are sent to, with no more differing bits of the block than allowed."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "RANGE_ROWS", rows)
     rng = np.random.default_rng(0)
-    for n in (1, 10**6, 10**9):
-        masks = [m[0] for m in simhash.exact_masks(n, 4)]
-        for _ in range(200):
-            x = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-            assert any(x & m == 0 for m in masks)
+    blocks, most, prefix = simhash.gray_routes(n, 4)
+    for _ in range(40):
+        x = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+        x[1] = x[0]
+        for bit in rng.choice(64, 4, replace=False):
+            x[1] ^= np.uint64(1 << int(bit))
+        batch = pa.RecordBatch.from_arrays([pa.array([v.astype(">u8").tobytes() for v in x], pa.binary()), pa.array([0, 1])], names=["fp", "rep"])
+        sent = {0: set(), 1: set()}
+        for out in simhash._ranges(blocks, most, prefix, [batch]):
+            for r in out.to_pylist():
+                sent[r["rep"]].add((r["route"], min(r["key"], r["other"]), max(r["key"], r["other"])))
+        assert sent[0] & sent[1]
+
+
+def test_gray_index_prunes_and_counts():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    x[2000:] = x[:2000]
+    for i in range(2000, 4000):
+        for bit in rng.choice(64, rng.integers(0, 7), replace=False):
+            x[i] ^= np.uint64(1 << int(bit))
+    found, tally = set(), simhash.Counter()
+    blocks, most, _ = simhash.gray_routes(1, 4)
+    for first, bits in blocks:
+        turned = (x << np.uint64(first)) | (x >> np.uint64(64 - first)) if first else x
+        u, v = simhash.linked_stars(turned[:, None], np.zeros(4000, dtype=np.int64), np.arange(4000), 4, (bits, most), tally=tally)
+        found |= set(zip(u.tolist(), v.tolist(), strict=True))
+    a, b = map(np.array, zip(*brute_links(x, 4), strict=True))
+    got = simhash.label_min(4000, *map(np.array, zip(*found, strict=True)))
+    assert np.array_equal(got, simhash.label_min(4000, a, b))
+    # Of 8 million pairs, three times over, the tree compares few leaf by leaf; most nodes fall with all below them.
+    assert tally["leaves"] < 0.06 * 3 * 4000 * 3999 / 2 and tally["pruned"] > 0.5 * tally["nodes"], tally
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_simhash_of_many_ranges_equals_brute_force(spark, monkeypatch, chunk):
+    """Fingerprints are taken as given: words whose single shingle's hash is the fingerprint."""
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 16)
+    monkeypatch.setattr(simhash, "ROUTE_ROWS", chunk)
+    monkeypatch.setattr(simhash, "LONG_ROUTES", 10**9)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    body = []
+    for i in range(150):
+        words = [*base[: 40 + i % 5], *(f"own{i % 30}x{j}" for j in range(120))]
+        for at in rng.choice(len(words), rng.integers(0, 3), replace=False):
+            words[at] = f"new{rng.integers(10**6)}"
+        body.append(" ".join(words))
+    df = spark.createDataFrame([*enumerate(body), (None, body[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.simhash_groups(df).collect()}
+    fp = np.array([int(got[i]["fingerprint"], 16) for i in range(len(body))], dtype=np.uint64)
+    a, b = map(np.array, zip(*brute_links(fp, 4), strict=True))
+    want = simhash.label_min(len(body), a, b)
+    assert [got[i]["component_id"] for i in range(len(body))] == want.tolist() and len(set(want.tolist())) < 140
+    assert got[None]["fingerprint"] == got[0]["fingerprint"] and got[None]["component_id"] is None
 
 
 def test_components_of_long_paths(spark, monkeypatch):
