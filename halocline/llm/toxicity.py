@@ -42,6 +42,8 @@ LEVELS = (1, 2, 3, 5)
 FDR = 0.01
 #: A voter whose toxic sets agree with a better one's to this share (Jaccard) is left out.
 SAME = 0.9
+#: Buckets of hashed terms, for a first count that bounds what is counted by name.
+BUCKETS = 1 << 22
 #: Named apart from the lexicon; the last two vote clean.
 PATTERNS = ("disguised", "bulk", "shouting", "exclaiming", "no match", "long and clean")
 WORD = re.compile(r"[^\W\d_]+")
@@ -64,7 +66,7 @@ def words_of(text: str) -> Counter:
 class _Terms(dict):
     """Word -> its terms among ``wanted``, remembered for up to MEMORY words."""
 
-    MEMORY = 1 << 18
+    MEMORY = 1 << 16
 
     def __init__(self, wanted):
         super().__init__()
@@ -84,9 +86,18 @@ class _Terms(dict):
         return out
 
 
-class _All:
-    def __contains__(self, _) -> bool:
-        return True
+class _Often:
+    """Terms whose bucket of hashes counts ``least`` or more: all that occur so often, and a few more."""
+
+    def __init__(self, counts: np.ndarray, least: int):
+        self.counts, self.least = counts, least
+
+    @staticmethod
+    def bucket(term: Term) -> int:
+        return zlib.crc32(f"{term[0]}{term[1]}".encode()) % BUCKETS
+
+    def __contains__(self, term: Term) -> bool:
+        return bool(self.counts[self.bucket(term)] >= self.least)
 
 
 def _copies_key(text: str) -> int:
@@ -95,42 +106,55 @@ def _copies_key(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
+def _sets(texts: list[str]) -> list[list[str]]:
+    """Texts by their set of near copies."""
+    out: dict[int, list[str]] = {}
+    for t in texts:
+        out.setdefault(_copies_key(t), []).append(t)
+    return list(out.values())
+
+
+def _matches(of: _Terms, texts: list[str]) -> set[tuple[Term, int]]:
+    """(term, level) found in one of the texts."""
+    return {(term, k) for t in texts for term, n in of.counts(words_of(t)).items() for k in LEVELS if n >= k}
+
+
 def find_lexicon(toxic: list[str], clean: list[str]) -> list[tuple[Term, int]]:
-    """The voters (term, level), most telling first."""
-    sets: list[dict[int, set]] = [{}, {}]
-    tested, wanted = 0, _All()
-    for y, texts in ((1, toxic), (0, clean)):
-        of = _Terms(wanted)
-        for text in texts:
-            found = sets[y].setdefault(_copies_key(text), set())
-            for term, n in of.counts(words_of(text)).items():
-                found.update((term, k) for k in LEVELS if n >= k)
-        if y:
-            often = Counter(term for found in sets[1].values() for term, k in found if k == 1)
-            tested, wanted = len(often), {term for term, n in often.items() if n > 1}
-    share = len(sets[1]) / (len(sets[0]) + len(sets[1]))
-    where: dict[tuple[Term, int], set[int]] = {}
-    for number, found in enumerate(sets[1].values()):
-        for v in found:
-            if v[0] in wanted:
-                where.setdefault(v, set()).add(number)
-    against: Counter = Counter()
-    for found in sets[0].values():
-        against.update(found)
+    """The voters (term, level), most telling first. Sets of copies are counted one after the other."""
+    toxic_sets, clean_sets = _sets(toxic), _sets(clean)
+    share = len(toxic_sets) / (len(toxic_sets) + len(clean_sets))
+    buckets = np.zeros(BUCKETS, dtype=np.int32)
+    for texts in toxic_sets:
+        words = set().union(*(words_of(t) for t in texts))
+        buckets[list({_Often.bucket(term) for w in words for term in terms(w)})] += 1
+    tests = max(1, int((buckets > 0).sum())) * len(LEVELS)
+    # Fewer sets than this are within chance even if all tests are found.
+    least = max(2, int(np.ceil(np.log(1 / FDR) / np.log(1 / share))))
+    of, count = _Terms(_Often(buckets, least)), Counter()
+    for texts in toxic_sets:
+        count.update(_matches(of, texts))
+    count = {v: n for v, n in count.items() if n >= least}
+    of, against = _Terms({term for term, _ in count}), Counter()
+    for texts in clean_sets:
+        against.update(v for v in _matches(of, texts) if v in count)
     scored = []
-    for v, numbers in where.items():
-        n, m = len(numbers), against[v]
+    for v, n in count.items():
+        m = against[v]
         rate = n / (n + m)
-        if n > 1 and rate > share:
+        if rate > share:
             # Chernoff's bound on the chance of n or more toxic sets among n + m.
             bound = n * np.log(rate / share) + (m * np.log((1 - rate) / (1 - share)) if m else 0.0)
             scored.append((-bound, v[1], -(v[0][0] or 99), v))
     scored.sort()
-    tests = max(1, tested * len(LEVELS))
     last = max((i for i, x in enumerate(scored, 1) if x[0] <= np.log(FDR * i / tests)), default=0)
+    where: dict[tuple[Term, int], set[int]] = {x[3]: set() for x in scored[:last]}
+    of = _Terms({term for term, _ in where})
+    for number, texts in enumerate(toxic_sets):
+        for v in _matches(of, texts):
+            if v in where:
+                where[v].add(number)
     out: list[tuple[Term, int]] = []
-    for _, _, _, v in scored[:last]:
-        own = where[v]
+    for v, own in where.items():
         if not any(len(own & where[o]) >= SAME * len(own | where[o]) for o in out):
             out.append(v)
     return out
