@@ -12,12 +12,18 @@
 Vectors are only compared under equal labels (and equal dimension). The index is fitted on at most about SAMPLE vectors
 and holds every vector.
 
-Scale: equal vectors are folded into one with its count. Lists are keyed by (label, list); a list with more than
-LIST_ROWS vectors is cut into chunks that different tasks search. A task sends each vector's count of links and a star
-for each connected set, never pairs; ``connected_components`` joins the stars.
+Scale: equal vectors are folded into one with its count. A vector goes to its own list and to those probed lists that
+come after it (two lists' vectors meet in the later one's task, which counts their links for both), as wide as it was
+given: 4 bytes a component of float vectors. Lists are keyed by (label, list); a list with more than its share of vectors
+is cut into chunks of MOST_ROWS at most that different tasks search. A task sends each vector's count of links and a star
+for each connected set, never pairs; ``connected_components`` joins the stars. The number of lists stops at MOST_LISTS
+(the fit sees SAMPLE vectors); beyond, lists grow longer and are cut, and no pair is missed. Spread evenly over 64
+dimensions, vectors probe most lists, and the search tends to all pairs of a label; data in clusters prune.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label,
-link with nothing; of equal vectors each counts the others; an empty table gives an empty result.
+link with nothing; of equal vectors each counts the others; ids must be whole numbers (others are an error); rows with a
+null id count as neighbours of equal vectors only, and have a null component and null kept; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,15 +37,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halocline.llm._common import Table, attach_groups
+from halocline.llm._common import SMALL_IDS, Table, attach_groups
 from halocline.llm._components import connected_components, star_edges
 
 THRESHOLD = 0.98
 SAMPLE = 8192
-MOST_LISTS = 1024
+#: Lists are the square root of the vectors over FEWER, MOST_LISTS at most.
+FEWER, MOST_LISTS = 16, 1024
 SUBSPACES, CODES = 8, 64
-#: Vectors of one list that are searched together, at least; and the number of longer lists, at most.
-LIST_ROWS, LONG_LISTS = 4096, 20_000
+#: Vectors of one list that are searched together, at least and at most; between them, longer lists number LONG_LISTS.
+LIST_ROWS, MOST_ROWS, LONG_LISTS = 4096, 1 << 16, 20_000
 QUERIES = 512
 SLACK = 1e-6
 
@@ -103,41 +110,45 @@ class Index:
         return out
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], width: int = 8) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=f"<f{width}").reshape(len(raw), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def _place(indexes: dict[int, Index], radius: float, batches):
-    """(label, dim, rep, n, vector) -> a row in its own list (role 0) and one in each probed list (role 1)."""
+def _place(indexes: dict[int, Index], radius: float, width: int, batches):
+    """(label, dim, rep, n, vector) -> a row in its own list (role 0) and one in each later list to probe (role 1)."""
     for batch in batches:
         dims = batch.column(1).to_numpy()
-        vectors = batch.column(4).to_pylist()
+        vectors = batch.column(4)
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
-            data = [np.asarray(vectors[i], dtype="<f8").tobytes() for i in rows]
-            own, probe = indexes[int(dim)].probes(_unit(data), radius)
+            flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(f"<f{width}").tobytes()
+            step = int(dim) * width
+            data = [flat[i : i + step] for i in range(0, len(flat), step)]
+            own, probe = indexes[int(dim)].probes(_unit(data, width), radius)
+            probe &= np.arange(probe.shape[1]) >= own[:, None]
             which, lists = np.nonzero(probe)
+            # A vector looks for partners in its own list as well.
             which, lists = np.r_[np.arange(len(rows)), which], np.r_[own, lists]
             role = np.r_[np.zeros(len(rows), dtype=np.int32), np.ones(len(which) - len(rows), dtype=np.int32)]
             for at in range(0, len(which), 4096):
                 w = which[at : at + 4096]
                 taken = batch.take(pa.array(rows[w]))
                 yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(lists[at : at + 4096].astype(np.int32)), pa.array(role[at : at + 4096]), taken.column(2), taken.column(3), pa.array([data[i] for i in w], pa.binary())],
-                    names=["label", "dim", "list", "role", "rep", "n", "vector"],
+                    [taken.column(0), taken.column(1), pa.array(lists[at : at + 4096].astype(np.int32)), pa.array(role[at : at + 4096]), pa.array(own[w].astype(np.int32)), taken.column(2), taken.column(3), pa.array([data[i] for i in w], pa.binary())],
+                    names=["label", "dim", "list", "role", "home", "rep", "n", "vector"],
                 )
 
 
-def _search(indexes: dict[int, Index], threshold: float, batches):
+def _search(indexes: dict[int, Index], threshold: float, width: int, batches):
     """Rows sorted by (label, dim, list, chunk, role) -> (u, v, links): counts have a null v, star edges no links."""
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     now, base = None, None
     held: list = []
 
     def columns(table):
-        return table.column("rep").to_numpy(), table.column("n").to_numpy(), _unit(table.column("vector").to_pylist())
+        return table.column("rep").to_numpy(), table.column("n").to_numpy(), _unit(table.column("vector").to_pylist(), width)
 
     for batch in batches:
         keys = list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "list", "chunk", "role")], strict=True))
@@ -161,23 +172,23 @@ def _search(indexes: dict[int, Index], threshold: float, batches):
                 reps, counts, unit = columns(pa.Table.from_batches(held))
                 base = reps, counts, unit, *index.encode(unit - centre)
             reps, counts, unit, codes, error = base
-            own, _, query = columns(part)
-            near = index.lookup(query - centre, codes) <= (radius + error) ** 2 + SLACK
-            i, j = np.nonzero(near)
-            if len(i) > len(own) * len(reps) // 8:
-                cosine = (query @ unit.T)[i, j]
-            else:
-                cosine = np.concatenate([np.einsum("ij,ij->i", query[i[k : k + 65536]], unit[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
+            own, own_counts, query = columns(part)
+            i, j = np.nonzero(index.lookup(query - centre, codes) <= (radius + error) ** 2 + SLACK)
+            # One formula for every pair, whichever of the two asks: products are added in the order of components.
+            cosine = np.concatenate([(query[i[k : k + 65536]] * unit[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)] or [np.zeros(0)])
             keep = (cosine >= threshold) & (own[i] != reps[j])
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            links = np.bincount(i, weights=counts[j], minlength=len(own)).astype(np.int64)
             nodes, place = np.unique(np.r_[own[i], reps[j]], return_inverse=True)
+            # Vectors of one list find each other both ways; of two lists, only the earlier one's ask.
+            foreign = (part.column("home").to_numpy() != key[2])[i]
+            links = np.bincount(place[: len(i)], weights=counts[j], minlength=len(nodes))
+            links += np.bincount(place[len(i) :], weights=own_counts[i] * foreign, minlength=len(nodes))
             u, v = star_edges(nodes, place[: len(i)], place[len(i) :])
             found = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[own[found], u]), pa.array(np.r_[np.zeros(len(found), dtype=np.int64), v], mask=np.r_[np.ones(len(found), dtype=bool), np.zeros(len(u), dtype=bool)]), pa.array(np.r_[links[found], np.zeros(len(u), dtype=np.int64)])],
+                [pa.array(np.r_[nodes[found], u]), pa.array(np.r_[np.zeros(len(found), dtype=np.int64), v], mask=np.r_[np.ones(len(found), dtype=bool), np.zeros(len(u), dtype=bool)]), pa.array(np.r_[links[found].astype(np.int64), np.zeros(len(u), dtype=np.int64)])],
                 names=["u", "v", "links"],
             )
 
@@ -189,11 +200,14 @@ def _usable(vector: str, label: str) -> Column:
 
 def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """id, n_links, component_id, kept for every row."""
-    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    width = 4 if rows.schema[vector_col].dataType.simpleString() == "array<float>" else 8
+    kept_as = "array<float>" if width == 4 else "array<double>"
+    given = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kept_as).alias("vector"))
     usable = given.where(_usable("vector", "label"))
     # Adding zero turns -0.0 into 0.0, so that equal vectors are equal keys.
-    keyed = Table(usable.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0))), "vectors")
-    folded = Table(keyed.df.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors-folded")
+    keyed = Table(usable.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float" if width == 4 else "double"))), "vectors")
+    # A group of rows without any id has no name to link by.
+    folded = Table(keyed.df.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("rep is not null"), "vectors-folded")
     total, different = folded.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     share = min(1.0, SAMPLE / max(different, 1))
     sample = folded.df.where(F.pmod(F.xxhash64("rep", F.lit("vector sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -202,31 +216,30 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
         by_dim.setdefault(len(r[0]), []).append(r[0])
     for r in folded.df.groupBy(F.size("vector").alias("dim")).agg(F.first("vector").alias("v")).collect():
         by_dim.setdefault(r["dim"], [r["v"]])
-    lists = max(1, min(MOST_LISTS, math.ceil(math.sqrt(different) / 16)))
+    lists = max(1, min(MOST_LISTS, math.ceil(math.sqrt(different) / FEWER)))
     indexes = {k: Index.fit(_unit([np.asarray(x, dtype="<f8").tobytes() for x in v]), lists) for k, v in by_dim.items()}
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     kind = given.schema["label"].dataType.simpleString()
     placed = folded.df.select("label", F.size("vector").alias("dim"), "rep", "n", "vector").mapInArrow(
-        functools.partial(_place, indexes, radius), f"label {kind}, dim int, list int, role int, rep long, n long, vector binary"
+        functools.partial(_place, indexes, radius, width), f"label {kind}, dim int, list int, role int, home int, rep long, n long, vector binary"
     )
-    # Lists longer than this number at most LONG_LISTS, which bounds the broadcast.
-    most = max(LIST_ROWS, different // LONG_LISTS)
+    most = min(MOST_ROWS, max(LIST_ROWS, different // LONG_LISTS))
     long = Table(placed.where("role = 0").groupBy("label", "dim", "list").agg(F.count("*").alias("rows")).where(F.col("rows") > most), "vectors-long")
     group = ["label", "dim", "list", "chunk"]
     chunked = (
-        placed.join(F.broadcast(long.df), ["label", "dim", "list"], "left")
+        placed.join(F.broadcast(long.df) if long.df.count() <= SMALL_IDS else long.df, ["label", "dim", "list"], "left")
         .withColumn("chunks", F.ceil(F.coalesce("rows", F.lit(1)) / most).cast("int"))
         .withColumn("chunk", F.explode(F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        .select(*group, "role", "rep", "n", "vector")
+        .select(*group, "role", "home", "rep", "n", "vector")
     )
-    found = Table(chunked.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(functools.partial(_search, indexes, threshold), "u long, v long, links long"), "vectors-found")
+    found = Table(chunked.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(functools.partial(_search, indexes, threshold, width), "u long, v long, links long"), "vectors-found")
     counts = found.df.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     components = connected_components(found.df.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
     labelled = Table(
         folded.df.join(counts, "rep", "left").join(components, "rep", "left").select("label", "vector", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")),
         "vectors-labels",
     )
-    linked = attach_groups(keyed.df, labelled.df, ["label", "vector"], "n", total).select("id", "links", "component")
+    linked = attach_groups(keyed.df, labelled.df, ["label", "vector"], "n", total).select("id", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
     others = given.where(~_usable("vector", "label")).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     return linked.unionByName(others).select(
         F.col("id").alias(id_col), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")

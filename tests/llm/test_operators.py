@@ -340,14 +340,17 @@ def test_html(spark):
     assert html_extract.extract(df.where("page_id < 0")).count() == 0
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize(("kind", "many"), [("float", 20_000), ("double", 10**9)])
+def test_vectors(spark, monkeypatch, kind, many):
     monkeypatch.setattr(embed_dedup, "LIST_ROWS", 16)
+    monkeypatch.setattr(embed_dedup, "LONG_LISTS", many)
+    monkeypatch.setattr(embed_dedup, "FEWER", 2)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(30, 8))
     x = [*(base[i % 30] + rng.normal(scale=0.06, size=8) for i in range(150)), *base[:5], *(base[:5] * 3)]
     data = [(i, v.astype(np.float32).tolist(), i % 2 if i < 150 else 0) for i, v in enumerate(x)]
     odd = [(900, None, 0), (901, [0.0] * 8, 0), (902, [float("nan")] * 8, 0), (903, [None, *[1.0] * 7], 0), (904, base[0].tolist(), None), (905, [float("inf")] * 8, 0), (906, [], 0), (907, [1.0, 0.0], 0), (908, [2.0, 0.0], 0)]
-    df = spark.createDataFrame([(*r, 1) for r in data + odd], "vec_id long, embedding array<float>, label int, n int")
+    df = spark.createDataFrame([(*r, 1) for r in data + odd], f"vec_id long, embedding array<{kind}>, label int, n int")
     good = [r for r in data + odd[-2:]]
     comp, links = {r[0]: r[0] for r in data + odd}, {r[0]: 0 for r in data + odd}
     pairs = []
