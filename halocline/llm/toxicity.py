@@ -37,6 +37,7 @@ from halocline.llm._common import whole_text_batches
 SAMPLE_ROWS = 4000
 #: Letters of word beginnings; 0 stands for whole words.
 STEMS = (0, 4, 5, 6, 7)
+SHORTEST = 4
 #: How often a term must be seen to be a voter's match.
 LEVELS = (1, 2, 3, 5)
 FDR = 0.01
@@ -49,7 +50,9 @@ PATTERNS = ("disguised", "bulk", "shouting", "exclaiming", "no match", "long and
 WORD = re.compile(r"[^\W\d_]+")
 #: Disguises, undone: digits and signs for letters, and letters repeated.
 LEET = str.maketrans("013457@$!+", "oieastasit")
-AGAIN = re.compile(r"(.)\1+")
+SIGNS = frozenset("013457@$!+")
+AGAIN, THRICE = re.compile(r"(.)\1+"), re.compile(r"([^\W\d_])\1\1")
+EDGES = ".,;:!?()\"'"
 
 Term = tuple[int, str]
 
@@ -170,23 +173,38 @@ class ToxicityModel:
         self.index: dict[Term, list[tuple[int, int]]] = {}
         for i, (term, level) in enumerate(self.voters):
             self.index.setdefault(term, []).append((level, i))
-        self.of = _Terms(self.index)
+        #: What a word that matches begins with.
+        self.heads = {t[:SHORTEST] for (_, t), _ in self.voters}
         self.whole = {AGAIN.sub(r"\1", t) for (k, t), _ in self.voters if not k}
 
+    def disguised(self, text: str) -> bool:
+        """Whether a token is an entry once undone, and none as it stands."""
+        thrice = THRICE.search(text) is not None
+        for token in set(text.split()) if self.whole else ():
+            if not SIGNS.isdisjoint(token) or (thrice and THRICE.search(token)):
+                t = token.strip(EDGES).lower()
+                if AGAIN.sub(r"\1", t.translate(LEET)) in self.whole and (0, t) not in self.index:
+                    return True
+        return False
+
     def votes(self, text: str) -> np.ndarray:
         """One 1 (toxic), 0 (abstain) or -1 (clean) of each lexicon voter and of each of PATTERNS."""
         words = words_of(text)
-        seen = self.of.counts(words)
-        hits = sum(n for w, n in words.items() if self.of[w])
+        seen: dict[Term, int] = {}
+        hits = 0
+        for w, n in words.items():
+            if w[:SHORTEST] in self.heads:
+                own = [t for t in terms(w) if t in self.index]
+                for t in own:
+                    seen[t] = seen.get(t, 0) + n
+                hits += n if own else 0
         out = np.zeros(len(self.voters) + len(PATTERNS), dtype=np.int8)
         for t, n in seen.items():
             for level, i in self.index[t]:
                 if n >= level:
                     out[i] = 1
         size, lexical = words.total(), bool(out.any())
-        tokens = set(text.split())
-        disguises = (t for t in tokens if not t.isalpha() or AGAIN.search(t)) if self.whole else ()
-        masked = any(AGAIN.sub(r"\1", t.strip(".,;:!?()\"'").lower().translate(LEET)) in self.whole and t.strip(".,;:!?()\"'").lower() not in words for t in disguises)
+        masked, tokens = self.disguised(text), text.split()
         shouting = 2 * sum(map(str.isupper, tokens)) > len(tokens)
         out[len(self.voters) :] = (masked, hits > 0.02 * size and hits > 1, shouting, text.count("!") > 0.2 * max(size, 1), -(not lexical and not masked), -(size >= 200 and hits <= 0.002 * size))
         return out
