@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is "heavy" when it holds more than one in HEAVY_PARTS of all rows; so there are at most HEAVY_PARTS heavy keys.
@@ -79,4 +79,9 @@ SMALL_IDS = 250_000
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, n_ids: int) -> DataFrame:
     """``docs`` but for those with an id in ``ids``; broadcast only when ``n_ids`` (counted) is small."""
     gone = ids.select(id_col)
-    return docs.join(F.broadcast(gone) if n_ids <= SMALL_IDS else gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if n_ids <= SMALL_IDS else gone, id_col, "left_anti").select(*plain_columns(docs))
+
+
+def plain_columns(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, also those with dots in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]

@@ -6,18 +6,20 @@ weight w is released at floor(i / w) and due at ceil((i + 1) / w); the earliest
 takes the slot. With weights that sum to 1 every block meets its deadline, so at any time each source is within one
 block of its share. Weights are rounded to multiples of 1 / period, so the schedule repeats after a period. The period is
 so long that the smallest weight has FINE slots in it (PERIOD slots at least), which keeps every source within 1 part in
-FINE of its weight or one slot of PERIOD, however many sources there are. No more slots are planned than the mix has. The mix ends with the slot in which the last document makes
-its first appearance: no document is left out, and sources that are short for their weight are repeated.
+FINE of its weight or one slot of PERIOD, however many sources there are. A source smaller than a block has blocks of its own size, so a slot
+never repeats its documents. No more slots are planned than the mix has. The mix ends with the slot that
+completes the first epoch of the last source to do so: no document is left out, and sources that are short for their
+weight are repeated.
 
-Default weights follow the sources' characters to the power ``alpha``: below 1, small sources weigh more than their
-size.
+Default weights follow the sources' characters (a block at least) to the power ``alpha``: below 1, small sources weigh
+more than their size.
 
 Scale: the sources' totals and the schedule reach the driver: a row a source, and 12 bytes for each slot of a period or of
 the mix, whichever is shorter; the mix has about a slot for each ``block_chars`` characters. A source's stream position
 comes from sums over hash ranges of about CHUNK_ROWS rows, so one source may hold any share of all rows.
 
 Defined results: null text counts as empty, and every text counts one character more than it has, so that empty
-documents have a place; a null source is a source of its own; sources without a positive weight in ``weights`` are an
+documents have a place; a null source is a source of its own; null ids are kept; sources without a positive weight in ``weights`` are an
 error; repeated rows each have a place; an empty table gives an empty result.
 """
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halocline.llm._common import Table
+from halocline.llm._common import Table, plain_columns
 
 PERIOD = 1 << 14
 #: Slots of the smallest weight in a period, at least; and planned slots up to which they are sent to every executor.
@@ -96,22 +98,26 @@ def pfair_period(shares: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_chars: int = BLOCK_CHARS, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
-    """id, source, chars, epoch, block, slot, at: the mix is the rows in the order (slot, at)."""
+def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list:
+    return [
+        F.col(id_col).alias("_id"),
+        F.coalesce(F.col(source_col), F.lit(NULL_SOURCE)).alias("_source"),
+        (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("long").alias("_chars"),
+        F.xxhash64(F.col(id_col), F.lit("mix")).alias("_hash"),
+    ]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_chars: int = BLOCK_CHARS, alpha: float = ALPHA, period: int = PERIOD, whole: bool = False) -> DataFrame:
+    """id, source, chars, epoch, block, slot, at: the mix is the rows in the order (slot, at). With ``whole`` also _row, the
+    columns of ``docs`` as c0, c1, ..."""
     spark = docs.sparkSession
-    rows = Table(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.coalesce(F.col(source_col), F.lit(NULL_SOURCE)).alias("_source"),
-            (F.coalesce(F.length(text_col), F.lit(0)) + 1).cast("long").alias("_chars"),
-        ).withColumn("_hash", F.xxhash64("_id", F.lit("mix"))),
-        "mix-rows",
-    )
+    base = _base(docs, id_col, text_col, source_col)
+    rows = Table(docs.select(*base), "mix-rows")
     # Each source has at most as many chunks as it has CHUNK_ROWS rows, and one more.
     per_source = rows.df.groupBy("_source").agg(F.sum("_chars").alias("all"), F.count("*").alias("n"))
     sources = {r["_source"]: (r["all"], r["n"]) for r in per_source.collect()}
     if weights is None:
-        weights = {k: float(v) ** alpha for k, (v, _) in sources.items()}
+        weights = {k: float(max(v, block_chars)) ** alpha for k, (v, _) in sources.items()}
     missing = [k for k in sources if k not in weights]
     if missing:
         raise ValueError(f"no weight for {missing[:5]}")
@@ -122,7 +128,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     period = fine_period(weights, period)
     shares = whole_shares(weights, period)
     names = sorted(sources)
-    lasts = {k: (chars - 1) // block_chars for k, (chars, _) in sources.items()}  # the last block of the first epoch
+    size = {k: min(block_chars, chars) for k, (chars, _) in sources.items()}
+    lasts = {k: (chars - 1) // size[k] for k, (chars, _) in sources.items()}  # the last block of the first epoch
     # Every block is placed before its deadline, so no slot after the last of these deadlines is needed.
     until = max((-(-(lasts[k] + 1) * period // shares[k]) for k in names), default=0)
     plan = pfair_slots([shares[k] for k in names], min(period, until)) if names else np.zeros(0, dtype=np.int32)
@@ -132,23 +139,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     # The mix ends after the slot of the last block of each source's first epoch.
     last = max((lasts[k] // shares[k] * period + int(order[starts[i] + lasts[k] % shares[k]]) for i, k in enumerate(names)), default=0)
     blocks_until = np.bincount(plan[: last % period + 1], minlength=len(names)).tolist()
-    epochs = [math.ceil(Fraction((last // period * shares[k] + blocks_until[i]) * block_chars, sources[k][0])) for i, k in enumerate(names)]
+    epochs = [math.ceil(Fraction((last // period * shares[k] + blocks_until[i]) * size[k], sources[k][0])) for i, k in enumerate(names)]
     facts = spark.createDataFrame(
-        [(k, i, sources[k][0], sources[k][1] // CHUNK_ROWS + 1, shares[k], epochs[i]) for i, k in enumerate(names)], "_source string, _number int, _all long, _chunks long, _share long, _epochs long"
+        [(k, i, sources[k][0], sources[k][1] // CHUNK_ROWS + 1, shares[k], epochs[i], size[k]) for i, k in enumerate(names)], "_source string, _number int, _all long, _chunks long, _share long, _epochs long, _size long"
     )
     nth = np.arange(len(plan)) - starts[plan[order]]
     columns = {"_number": pa.array(plan[order], pa.int32()), "_nth": pa.array(nth, pa.int64()), "_slot": pa.array(order, pa.int64())}
     slots = spark.createDataFrame(pa.table(columns))
     if len(plan) <= SMALL_PLAN:
         slots = F.broadcast(slots)
-    placed = rows.df.join(F.broadcast(facts), "_source").withColumn("_chunk", F.floor((F.shiftrightunsigned("_hash", 33) * F.col("_chunks")) / F.lit(1 << 31)).cast("long"))
-    sums = placed.groupBy("_source", "_chunk").agg(F.sum("_chars").alias("_sum"))
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(facts), "_source").withColumn("_chunk", F.floor((F.shiftrightunsigned("_hash", 33) * F.col("_chunks")) / F.lit(1 << 31)).cast("long"))
+
+    sums = place(rows.df).groupBy("_source", "_chunk").agg(F.sum("_chars").alias("_sum"))
     before = Table(sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_chunk")) - F.col("_sum")).select("_source", "_chunk", "_before"), "mix-chunks")
     within = F.sum("_chars").over(Window.partitionBy("_source", "_chunk").orderBy(F.shiftrightunsigned("_hash", 33), "_hash", "_id").rowsBetween(Window.unboundedPreceding, -1))
     # The window partitions rows by (source, chunk), as the join does.
-    streams = placed.withColumn("_within", F.coalesce(within, F.lit(0))).join(before.df, ["_source", "_chunk"])
+    row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain_columns(docs))]).alias("_row")
+    streams = place(docs.select(*base, row) if whole else rows.df).withColumn("_within", F.coalesce(within, F.lit(0))).join(before.df, ["_source", "_chunk"])
     repeated = streams.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1))).withColumn("at", F.col("_before") + F.col("_within") + F.col("epoch") * F.col("_all"))
-    blocks = repeated.withColumn("block", F.floor(F.col("at") / block_chars).cast("long")).withColumn("_nth", F.col("block") % F.col("_share"))
+    blocks = repeated.withColumn("block", F.expr("at div _size")).withColumn("_nth", F.col("block") % F.col("_share"))
     slotted = blocks.join(slots, ["_number", "_nth"]).withColumn("slot", F.floor(F.col("block") / F.col("_share")).cast("long") * period + F.col("_slot")).where(F.col("slot") <= last)
     return slotted.select(
         F.col("_id").alias(id_col),
@@ -158,11 +169,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
         "block",
         "slot",
         "at",
+        *(["_row"] if whole else []),
     )
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` in the order of the mix, columns as they were; a row appears once for each of its epochs."""
-    order = Table(mix(docs, weights, id_col, text_col, source_col, **options).select(F.col(id_col).alias("_mix_id"), F.col("slot").alias("_slot"), F.col("at").alias("_at")), "mix-order")
-    joined = docs.join(order.df, docs[id_col] == F.col("_mix_id"))
-    return joined.repartitionByRange("_slot", "_at").sortWithinPartitions("_slot", "_at").select(*[docs[c] for c in docs.columns])
+    mixed = mix(docs, weights, id_col, text_col, source_col, whole=True, **options).select("slot", "at", "_row")
+    ordered = mixed.repartitionByRange("slot", "at").sortWithinPartitions("slot", "at")
+    return ordered.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

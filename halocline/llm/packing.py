@@ -11,8 +11,9 @@ Scale: bounds of the ranges come from a bounded sample of documents (they only b
 they fit. Each range reports one number, its count of ids; their running sum places the ranges in the stream. Ids are
 shuffled once and written once, as two bytes each where the vocabulary allows.
 
-Defined results: null text counts as empty; an empty document is the end id alone; ids of rows (``id_col``) should be
-unique, as ties in (key, id) keep no defined order; an empty table gives an empty result.
+Defined results: null text counts as empty; an empty document is the end id alone; ids must be whole numbers (others are
+an error) and should be unique, as ties in (key, id) keep no defined order; rows with a null id are packed, before others
+of their key, and their pieces have a null id (-2^63 stands for it within); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 4, 15
 HASHED = 512
+NO_ID = -(1 << 63)
 #: Documents, at most about, from which the bounds of ranges are learned.
 SAMPLE = 4096
 
@@ -174,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (see the module)."""
     spark = docs.sparkSession
     whole_text_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_docs = rows.select("doc").count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = SAMPLE / max(n_docs, 1)
@@ -190,4 +192,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
         total += totals[part]
     pieces = placed.df.mapInArrow(_cutter(starts, total, length), "doc long, start long, len long, crc long, tokens long, sequence long, offset long")
     names = dict(doc=id_col, start="start", len="length", crc="ids_crc32", tokens="doc_tokens", sequence="sequence_id", offset="offset")
-    return pieces.select([F.col(a).alias(b) for a, b in names.items()])
+    return pieces.withColumn("doc", F.when(F.col("doc") != NO_ID, F.col("doc"))).select([F.col(a).alias(b) for a, b in names.items()])

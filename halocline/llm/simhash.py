@@ -523,11 +523,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component_id: groups of documents whose shingle similarity is ``similarity`` or more, closed over links."""
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("component_id"))
+    docs = docs.where(F.col(id_col).isNotNull())
     words, masks, max_bits = band_plan(docs.count(), similarity)
     candidates = _groups(docs, id_col, text_col, shingle_words, words, lambda _: (partial(_route, masks), len(masks), [], max_bits))
     loose = Table(candidates.select(F.col(id_col).alias("doc"), "component"), "near-loose")
     exact = _exact_components(docs, loose, id_col, text_col, shingle_words, similarity)
-    return exact.select(F.col("doc").alias(id_col), F.col("component").alias("component_id"))
+    return exact.select(F.col("doc").alias(id_col), F.col("component").alias("component_id")).unionByName(nameless)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
