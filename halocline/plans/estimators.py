@@ -285,8 +285,9 @@ class MiniBatchKMeans(KMeans):
         x = df.select(features_of(df, self.features).alias("x"))
         for turn in range(self.max_iter):
             share = min(1.0, 1.5 * self.batch_size / n)
-            draw = F.pmod(F.xxhash64("x", F.lit(self.seed), F.lit(turn)), F.lit(1 << 30))
-            batch = np.array([r[0] for r in x.where(draw < int(share * (1 << 30))).limit(self.batch_size).collect()], dtype=float)
+            # The smallest hashes, wherever their rows lie; the filter only spares the sort.
+            drawn = x.withColumn("h", F.xxhash64("x", F.lit(self.seed), F.lit(turn))).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+            batch = np.array([r[0] for r in drawn.orderBy(F.xxhash64("h"), "x").limit(self.batch_size).collect()], dtype=float)
             if not len(batch):
                 continue
             c, d = nearest(batch, centres, self.div)

@@ -49,7 +49,8 @@ def kmeans_parallel(df: DataFrame, features: str, k: int, div: Divergence, round
             break
         draw = F.pmod(F.xxhash64(features, F.lit(seed), F.lit(turn)), F.lit(1 << 53)) / F.lit(float(1 << 53))
         share = F.lit(factor * k / cost) * F.greatest("_d", F.lit(0.0))
-        new = near.where(draw < share).select(features).distinct().limit(int(8 * factor * k) + 8).collect()
+        # The shares add up to factor * k, so that is how many rows come, about.
+        new = near.where(draw < share).select(features).distinct().collect()
         if new:
             found = np.vstack([found, np.array([r[0] for r in new], dtype=float)])
     if len(found) < k:

@@ -372,16 +372,25 @@ def bic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(estimators.information_score(m.compute_cost(p), p.count(), 5, 64),)], "v double").select(F.round("v", 4).alias("bic"))
 
 
-@query("streaming_update", f"""WITH {POINTS}, c0 AS (SELECT (vec_id)::int AS cid, x AS c FROM p WHERE vec_id < 3), a AS (SELECT vec_id, vec_id % 2 AS b, arg_min(cid, (d, cid))::int AS cluster FROM (SELECT vec_id, cid, {d_sql('se')} AS d FROM p, c0) GROUP BY vec_id)
-SELECT cluster, count(*) AS weight FROM a GROUP BY cluster""")
+def means_sql(i: int, rows: str, value: str = "avg(v)") -> str:
+    """Centres c{i+1} as means of ``rows`` (cid, x); a slot without rows keeps its centre."""
+    long = f"SELECT cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM ({rows})"
+    return f"n{i} AS (SELECT cid, list(v ORDER BY pos) AS c FROM (SELECT cid, pos, {value} AS v FROM ({long}) GROUP BY cid, pos) GROUP BY cid), c{i + 1} AS (SELECT o.cid, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n USING (cid))"
+
+
+@query("streaming_update", f"""WITH {POINTS}, c0 AS (SELECT (vec_id)::int AS cid, x AS c FROM p WHERE vec_id < 3), a AS ({near_sql('se')}), {means_sql(0, 'SELECT cluster AS cid, x FROM a')}
+SELECT cid AS cluster, count(*) AS weight, round(any_value(list_sum(c)), 5) AS centre_sum FROM c1 JOIN a ON a.cluster = cid GROUP BY cid""")
 def streaming_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     m = StreamingKMeans(first_points(p, "features", 3, "vec_id"))
     m.update(p, 0)
-    return spark.createDataFrame([(i, int(w)) for i, w in enumerate(m.weights) if w], "cluster int, weight long")
+    rows = [(i, int(w), float(c.sum())) for i, (w, c) in enumerate(zip(m.weights, m.centres, strict=True)) if w]
+    return spark.createDataFrame(rows, "cluster int, weight long, s double").select("cluster", "weight", F.round("s", 5).alias("centre_sum"))
 
 
 def _fit(name: str, make: Callable[[], estimators.KMeans], source: Callable = points) -> None:
+    """Starts by hashes of the points, which SQL does not have: sizes only."""
+
     @query(f"fit_{name}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = source(spark, sf_dir)
@@ -390,22 +399,99 @@ def _fit(name: str, make: Callable[[], estimators.KMeans], source: Callable = po
 
 
 for _name, _make in {
-    "kmeans": lambda: estimators.KMeans(k=5),
-    "kmeans_kl": lambda: estimators.KMeans(k=5, divergence="kl"),
     "bisecting": lambda: estimators.BisectingKMeans(k=4),
     "xmeans": lambda: estimators.XMeans(max_k=4, max_iter=5),
-    "soft": lambda: estimators.SoftKMeans(k=4, beta=2.0),
-    "mixture": lambda: estimators.BregmanMixture(k=4, max_iter=8),
     "minibatch": lambda: estimators.MiniBatchKMeans(k=4, max_iter=8),
-    "dpmeans": lambda: estimators.DPMeans(lam=3.0, max_k=8, max_iter=5),
-    "robust": lambda: estimators.RobustKMeans(k=4, max_iter=5),
-    "robust_noise": lambda: estimators.RobustKMeans(k=4, max_iter=5, mode="noise_cluster", threshold=1.2),
-    "balanced": lambda: estimators.BalancedKMeans(k=4, max_iter=5),
     "coreset": lambda: estimators.CoresetKMeans(k=4, coreset_size=100, max_iter=5),
 }.items():
     _fit(_name, _make)
 
 
+def fitted_sql(parts: list[str], predictions: str, centres: str) -> str:
+    return f"WITH {', '.join(parts)}, z AS ({predictions}) SELECT cid AS cluster, round(list_sum(c), 5) AS centre_sum, count(z.prediction) AS n FROM {centres} LEFT JOIN z ON z.prediction = cid GROUP BY cid, c"
+
+
+def lloyd_steps(kind: str, start: int, rounds: int) -> list[str]:
+    g, inv = GRADS[kind]
+    value = f"avg({g})" if inv == "m" else inv.replace("m", f"avg({g})", 1)
+    return [f"a{i} AS ({near_sql(kind, centres=f'c{i}')}), {means_sql(i, f'SELECT cluster AS cid, x FROM a{i}', value)}" for i in range(start, start + rounds)]
+
+
+def near_predictions(kind: str, centres: str) -> str:
+    return f"SELECT cluster AS prediction FROM ({near_sql(kind, centres=centres)})"
+
+
+def _fitted(name: str, sql: str, make: Callable[[DataFrame], estimators.KMeans]) -> None:
+    """From the points of the first ids, for a fixed number of rounds: each cluster's size and the sum of its centre."""
+
+    @query(f"fit_{name}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = points(spark, sf_dir)
+        model = make(p).fit(p)
+        sizes = model.transform(p).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+        centres = spark.createDataFrame([(i, float(c.sum())) for i, c in enumerate(model.centres)], "cluster int, s double")
+        return centres.join(sizes, "cluster", "left").select("cluster", F.round("s", 5).alias("centre_sum"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _first(k: int) -> Callable[[DataFrame], np.ndarray]:
+    return lambda p: first_points(p, "features", k, "vec_id")
+
+
+_fixed = {"max_iter": 3, "tol": 0.0}
+for _name, _kind in (("kmeans", "se"), ("kmeans_kl", "kl"), ("kmeans_is", "is"), ("kmeans_geni", "geni")):
+    _fitted(_name, fitted_sql([POINTS, first_sql(5), *lloyd_steps(_kind, 0, 3)], near_predictions(_kind, "c3"), "c3"), lambda p, kind=_kind: estimators.KMeans(k=5, divergence=kind, initial_centres=_first(5)(p), empty="keep", **_fixed))
+
+
+def joint_sql(i: int, share: str) -> str:
+    """Rows q{i}: each point's shares of the clusters, from distances ``d`` and centres' weights ``w``."""
+    return f"d{i} AS (SELECT vec_id, any_value(x) AS x, list({share} ORDER BY cid) AS l FROM (SELECT vec_id, x, cid, w, {d_sql('se')} AS d FROM p, c{i}) GROUP BY vec_id), q{i} AS (SELECT x, list_transform(e, lambda v: v / list_sum(e)) AS q FROM (SELECT x, list_transform(l, lambda v: exp(v - list_max(l))) AS e FROM d{i}))"
+
+
+def shares_sql(share: str, rounds: int) -> str:
+    out = [POINTS, f"c0 AS (SELECT vec_id::int AS cid, x AS c, 0.25::double AS w FROM p WHERE vec_id < 4)"]
+    for i in range(rounds):
+        each = f"SELECT unnest(q) AS u, generate_subscripts(q, 1) - 1 AS cid, x FROM q{i}"
+        long = f"SELECT u, cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM ({each})"
+        out.append(joint_sql(i, share))
+        out.append(f"m{i} AS (SELECT cid, pos, sum(u * v) / sum(u) AS v, sum(u) / count(*) AS w FROM ({long}) GROUP BY cid, pos), c{i + 1} AS (SELECT cid::int AS cid, list(v ORDER BY pos) AS c, any_value(w) AS w FROM m{i} GROUP BY cid)")
+    out.append(joint_sql(rounds, share))
+    return fitted_sql(out, f"SELECT (list_position(q, list_max(q)) - 1)::int AS prediction FROM q{rounds}", f"c{rounds}")
+
+
+_fitted("soft", shares_sql("-2 * d", 3), lambda p: estimators.SoftKMeans(k=4, beta=2.0, initial_centres=_first(4)(p), **_fixed))
+_fitted("mixture", shares_sql("ln(w) - d", 3), lambda p: estimators.BregmanMixture(k=4, initial_centres=_first(4)(p), **_fixed))
+
+
+def robust_sql(noise: bool) -> str:
+    out = [POINTS, first_sql(4)]
+    for i in range(3):
+        out.append(f"a{i} AS ({near_sql('se', centres=f'c{i}')}), {means_sql(i, f'SELECT cluster AS cid, x FROM a{i} WHERE d <= (SELECT quantile_cont(d, 0.95) FROM a{i})')}")
+    out.append(f"f AS ({near_sql('se', centres='c3')})")
+    return fitted_sql(out, f"SELECT {'CASE WHEN d / (SELECT quantile_cont(d, 0.5) FROM f) > 1.2 THEN -1 ELSE cluster END' if noise else 'cluster'} AS prediction FROM f", "c3")
+
+
+_fitted("robust", robust_sql(False), lambda p: estimators.RobustKMeans(k=4, initial_centres=_first(4)(p), **_fixed))
+_fitted("robust_noise", robust_sql(True), lambda p: estimators.RobustKMeans(k=4, mode="noise_cluster", threshold=1.2, initial_centres=_first(4)(p), **_fixed))
+
+
+def balanced_sql(rounds: int) -> str:
+    out = [POINTS, first_sql(4)]
+    for i in range(rounds):
+        out.append(f"s{i} AS (SELECT cluster AS cid, count(*) AS n FROM ({near_sql('se', centres=f'c{i}')}) GROUP BY cluster)")
+        out.append(f"g{i} AS (SELECT cid, c, 1 + 0.5::double * greatest(0, coalesce(n, 0) - m) / m AS g FROM c{i} LEFT JOIN s{i} USING (cid), (SELECT ceil(1.1::double * count(*) / 4) AS m FROM p))")
+        out.append(f"a{i} AS (SELECT vec_id, any_value(x) AS x, arg_min(cid, (d, cid)) AS cid FROM (SELECT vec_id, x, cid, g * {d_sql('se')} AS d FROM p, g{i}) GROUP BY vec_id)")
+        out.append(means_sql(i, f"SELECT cid, x FROM a{i}"))
+    return fitted_sql(out, near_predictions("se", f"c{rounds}"), f"c{rounds}")
+
+
+_fitted("balanced", balanced_sql(3), lambda p: estimators.BalancedKMeans(k=4, initial_centres=_first(4)(p), **_fixed))
+
+_dp = [POINTS, first_sql(1)]
+for _i in range(3):  # three furthest points, all further than lam, then two updates
+    _dp.append(f"a{_i} AS ({near_sql('se', centres=f'c{_i}')}), c{_i + 1} AS (SELECT cid, c FROM c{_i} UNION ALL SELECT {_i + 1}, (SELECT x FROM a{_i} ORDER BY d DESC LIMIT 1))")
+_fitted("dpmeans", fitted_sql([*_dp, *lloyd_steps("se", 3, 2)], near_predictions("se", "c5"), "c5"), lambda p: estimators.DPMeans(lam=0.02, max_k=4, max_iter=1, tol=0.0, initial_centres=_first(1)(p)))
+
+
 @query("fit_multiview")
 def fit_multiview(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumns({"left": F.slice("features", 1, 32), "right": F.slice("features", 33, 32)})
