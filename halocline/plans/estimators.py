@@ -277,17 +277,21 @@ class MiniBatchKMeans(KMeans):
     batch_size: int = 1024
     max_iter: int = 100
     max_no_improvement: int = 10
+    #: Share of all rows in a batch, if positive, instead of ``batch_size``; batches reach the driver, so ``max_batch`` at most.
+    fraction: float = 0.0
+    max_batch: int = 100_000
 
     def fit(self, df: DataFrame) -> CentreModel:
         n = require_valid(df, self.features, self.div, self.weight)
         centres = self.start(df).astype(float)
         count, best, idle = np.zeros(len(centres)), math.inf, 0
         x = df.select(features_of(df, self.features).alias("x"))
+        size = min(self.max_batch, max(1, math.ceil(self.fraction * n))) if self.fraction > 0 else self.batch_size
         for turn in range(self.max_iter):
-            share = min(1.0, 1.5 * self.batch_size / n)
+            share = min(1.0, 1.5 * size / n)
             # The smallest hashes, wherever their rows lie; the filter only spares the sort.
             drawn = x.withColumn("h", F.xxhash64("x", F.lit(self.seed), F.lit(turn))).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-            batch = np.array([r[0] for r in drawn.orderBy(F.xxhash64("h"), "x").limit(self.batch_size).collect()], dtype=float)
+            batch = np.array([r[0] for r in drawn.orderBy(F.xxhash64("h"), "x").limit(size).collect()], dtype=float)
             if not len(batch):
                 continue
             c, d = nearest(batch, centres, self.div)

@@ -20,16 +20,16 @@ PRESETS = {
     "high_quality": {"max_iter": 100, "tol": 1e-6},
     "debug": {"validate": True},
     "production": {"validate": True, "max_iter": 20},
-    "text": {"k": 20, "divergence": "cosine", "max_iter": 30},
-    "images": {"k": 10, "max_iter": 50},
-    "topics": {"k": 50, "divergence": "kl", "max_iter": 100, "tol": 1e-5},
-    "anomalies": {"k": 3, "max_iter": 100, "tol": 1e-6},
+    "text_clustering": {"k": 20, "divergence": "cosine", "max_iter": 30},
+    "image_clustering": {"k": 10, "max_iter": 50},
+    "topic_modeling": {"k": 50, "divergence": "kl", "max_iter": 100, "tol": 1e-5},
+    "anomaly_detection": {"k": 3, "max_iter": 100, "tol": 1e-6},
     "robust": {"k": 5, "divergence": "manhattan", "max_iter": 100, "tol": 1e-6},
-    "large": {"k": 10, "max_iter": 100},
-    "streaming": {"k": 10, "max_iter": 1000},
+    "large_dataset": {"k": 10, "fraction": 0.1, "max_iter": 100},
+    "streaming": {"k": 10, "fraction": 0.01, "max_iter": 1000},
 }
 #: Of these, mini-batches.
-MINI_BATCH = ("large", "streaming")
+MINI_BATCH = ("large_dataset", "streaming")
 
 
 def preset(name: str, k: int | None = None, **more) -> KMeans:

@@ -89,7 +89,7 @@ def test_traits_and_presets():
         transforms.make(t.transform)
     for name in presets.PRESETS:
         assert presets.preset(name, max_iter=3).max_iter == 3
-    assert presets.preset("topics").k == 50 and presets.preset("topics", 4).k == 4 and isinstance(presets.preset("large"), estimators.MiniBatchKMeans)
+    assert presets.preset("topic_modeling").k == 50 and presets.preset("topic_modeling", 4).k == 4 and isinstance(presets.preset("large_dataset"), estimators.MiniBatchKMeans) and presets.preset("streaming").fraction == 0.01
 
 
 def brute_merges(x, linkage, div):
