@@ -78,7 +78,7 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
     """``df`` with the nearest centre's number and, if named, the distance.
 
     Strategies: ``expression`` (unrolled, generated code), ``arrow`` (NumPy over Arrow batches, centres in chunks),
-    ``accelerated`` (arrow, with centres skipped by the triangle inequality), ``crossJoin`` (a broadcast table of centres, one row a point again by ``min_by``), ``auto``.
+    ``accelerated`` (arrow, with centres skipped by the triangle inequality), ``crossJoin`` (a broadcast row of all centres, the least within each row), ``auto``.
     """
     k, d = centres.shape
     x = features_of(df, features)
@@ -103,10 +103,8 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
         out = df.withColumn("_n", find(x)).withColumn(cluster, F.col("_n.c"))
         return (out.withColumn(distance, F.col("_n.d")) if distance else out).drop("_n")
     if strategy == "crossJoin":
-        table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "_c int, _centre array<double>")
-        one = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
-        near = df.withColumn("_id", F.monotonically_increasing_id()).select("_id", one, x.alias("_x")).crossJoin(F.broadcast(table))
-        least = near.groupBy("_id").agg(F.first("_row").alias("_row"), F.min(F.struct(between(div, F.col("_x"), F.col("_centre")).alias("d"), F.col("_c").alias("c"))).alias("_n"))
-        extra = [F.col("_n.c").alias(cluster)] + ([F.col("_n.d").alias(distance)] if distance else [])
-        return least.select("_row.*", *extra)
+        table = df.sparkSession.createDataFrame([([(i, c.tolist()) for i, c in enumerate(centres)],)], "__centres array<struct<c:int,x:array<double>>>")
+        each = F.transform("__centres", lambda t: F.struct(F.coalesce(between(div, F.col("__x"), t["x"]), F.lit(float("inf"))).alias("d"), t["c"].alias("c")))
+        out = df.withColumn("__x", x).crossJoin(F.broadcast(table)).withColumn("__n", F.array_min(each)).withColumn(cluster, F.col("__n.c"))
+        return (out.withColumn(distance, F.col("__n.d")) if distance else out).drop("__x", "__centres", "__n")
     raise UnknownName("strategy", strategy, STRATEGIES)

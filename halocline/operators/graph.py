@@ -15,20 +15,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A vertex is heavy when it holds more than one in HEAVY_PARTS of all edges, so there are fewer than HEAVY_PARTS such.
+HEAVY_PARTS = 1024
+
+
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of each u; ``total`` is the number of edges or more.
+
+    The few heavy vertices are broadcast, so that no task holds all edges of one.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    heavy = F.broadcast(low.where(F.col("n") > total // HEAVY_PARTS).select("u", "m"))
+    light = low.where(F.col("n") <= total // HEAVY_PARTS).select("u", "m")
+    return edges.join(heavy, "u").unionByName(edges.join(heavy, "u", "left_anti").join(light, "u"))
+
+
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(id, component): the smallest id that can be reached, for every id on an edge; rounds grow with log of the size."""
     e = cut(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).distinct())
     ids = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
-    e, before = e.where("u <> v"), None
+    e = e.where("u <> v")
+    before = (e.count(), None)
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
-        e = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = with_least(e.union(e.select("v", "u")), 2 * before[0]).withColumn("m", F.least("u", "m"))
+        e = cut(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        # An edge gives one edge at most, so there are no more of them than before.
+        down = with_least(e, 2 * before[0])
+        e = cut(down.select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now

@@ -50,13 +50,21 @@ def cluster_sums(df: DataFrame, features: str, k: int, membership: Membership, v
         if held is not None:
             yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "s": list(held)})
 
-    rows = x.mapInPandas(partial, "c int, s array<double>").select("c", F.posexplode("s").alias("p", "v")).groupBy("c", "p").agg(F.sum("v").alias("v")).collect()
-    if not rows:
+    table = added_up(x.mapInPandas(partial, "c int, s array<double>"), k)
+    if table is None:
         raise ValueError("no points")
+    return Sums(table[:, 0], table[:, 1].astype(int), table[:, 3:], table[:, 2])
+
+
+def added_up(partial: DataFrame, k: int) -> np.ndarray | None:
+    """Element-wise sums of (c, s) rows as a (k, length) matrix; None without rows. ``partial`` holds k rows a partition."""
+    rows = partial.select("c", F.posexplode("s").alias("p", "v")).groupBy("c", "p").agg(F.sum("v").alias("v")).collect()
+    if not rows:
+        return None
     table = np.zeros((k, max(r["p"] for r in rows) + 1))
     for r in rows:
         table[r["c"], r["p"]] = r["v"]
-    return Sums(table[:, 0], table[:, 1].astype(int), table[:, 3:], table[:, 2])
+    return table
 
 
 def hard(centres: np.ndarray, div: Divergence) -> Membership:
@@ -99,11 +107,31 @@ def weighted_medians(df: DataFrame, features: str, cluster: str, weight: str | N
     return running_medians(rows.groupBy("cluster", "pos", "v").agg(F.sum("w").alias("w")))
 
 
-def running_medians(values: DataFrame) -> DataFrame:
-    """The weighted medians of (cluster, pos, v, w), one row for each different value."""
-    key = Window.partitionBy("cluster", "pos")
-    run = values.withColumn("upto", F.sum("w").over(key.orderBy("v"))).withColumn("all", F.sum("w").over(key)).withColumn("next", F.lead("v").over(key.orderBy("v")))
-    reached = run.where(F.col("upto") >= F.col("all") / 2 - 1e-10)
-    first = reached.groupBy("cluster", "pos").agg(F.min(F.struct("v", "upto", "all", "next")).alias("m"))
+#: Ranges into which the different values of one (cluster, pos) are dealt; only one of them is sorted.
+MEDIAN_PARTS = 64
+
+
+def running_medians(values: DataFrame, parts: int = MEDIAN_PARTS) -> DataFrame:
+    """The weighted medians of (cluster, pos, v, w), one row for each different value.
+
+    Approximate quantiles cut the values of a (cluster, pos) into ``parts`` (2 or more) ranges. The ranges' weights tell in which of
+    them the running weight reaches half, and only that one is sorted, so a task holds about one in ``parts`` of the
+    values of a key. The medians are exact wherever the cuts fall.
+    """
+    key = ["cluster", "pos"]
+    cuts = values.groupBy(*key).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
+    part = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    placed = values.join(cuts, key).select(*key, "v", "w", part.alias("part"))
+    order = Window.partitionBy(*key).orderBy("part")
+    ranges = placed.groupBy(*key, "part").agg(F.sum("w").alias("weight"), F.min("v").alias("low"))
+    ranges = ranges.withColumn("upto", F.sum("weight").over(order)).withColumn("all", F.sum("weight").over(Window.partitionBy(*key))).withColumn("after", F.lead("low").over(order))
+    # The last range holds half at the latest, whatever rounding does to the sums.
+    at = ranges.where((F.col("upto") >= F.col("all") / 2 - 1e-10) | F.col("after").isNull())
+    at = at.groupBy(*key).agg(F.min(F.struct("part", (F.col("upto") - F.col("weight")).alias("before"), "all", "after")).alias("r")).select(*key, "r.*")
+    within = Window.partitionBy(*key).orderBy("v")
+    run = placed.join(at, [*key, "part"]).withColumn("upto", F.col("before") + F.sum("w").over(within)).withColumn("lead", F.lead("v").over(within))
+    run = run.withColumn("next", F.coalesce("lead", "after"))
+    reached = run.where((F.col("upto") >= F.col("all") / 2 - 1e-10) | F.col("lead").isNull())
+    first = reached.groupBy(*key).agg(F.min(F.struct("v", "upto", "all", "next")).alias("m"))
     at_half = F.abs(F.col("m.upto") - F.col("m.all") / 2) <= 1e-10
-    return first.select("cluster", "pos", F.when(at_half & F.col("m.next").isNotNull(), (F.col("m.v") + F.col("m.next")) / 2).otherwise(F.col("m.v")).alias("median"))
+    return first.select(*key, F.when(at_half & F.col("m.next").isNotNull(), (F.col("m.v") + F.col("m.next")) / 2).otherwise(F.col("m.v")).alias("median"))

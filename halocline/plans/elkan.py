@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from halocline.functions import divergences
 from halocline.operators.assign import features_of, stack
 from halocline.operators.graph import cut
+from halocline.operators.update import added_up
 from halocline.plans.lloyd import LloydResult
 
 STATE = "x array<double>, w double, c int, upper double, lower double"
@@ -55,12 +56,24 @@ def bounded_lloyd(df: DataFrame, features: str, centres: np.ndarray, max_iter: i
                     c[again], upper[again], lower[again] = measure(stack(b["x"][again]), now)
                 yield b.assign(c=c.astype(np.int32), upper=upper, lower=lower)
 
+        def partial(batches: Iterator[pd.DataFrame], k: int = len(now)) -> Iterator[pd.DataFrame]:
+            held = None
+            for b in batches:
+                if not len(b):
+                    continue
+                w, x = b["w"].to_numpy(), stack(b["x"])
+                if held is None:
+                    held = np.zeros((k, 1 + x.shape[1]))
+                np.add.at(held, b["c"].to_numpy(), np.column_stack([w, x * w[:, None]]))
+            if held is not None:
+                yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "s": list(held)})
+
         state = cut(state.mapInPandas(step, STATE))
-        sums = state.select("c", "w", F.posexplode("x").alias("p", "v")).groupBy("c", "p").agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.sum("w").alias("w")).collect()
+        sums = added_up(state.select("c", "w", "x").mapInPandas(partial, "c int, s array<double>"), len(now))
         new = now.copy()
-        for row in sums:
-            if row["w"] > 0:
-                new[row["c"], row["p"]] = row["v"] / row["w"]
+        if sums is not None:
+            full = sums[:, 0] > 0
+            new[full] = sums[full, 1:] / sums[full, :1]
         moves = np.sqrt(((new - now) ** 2).sum(1))
         r.centres, r.iterations = new, r.iterations + 1
         r.movement.append(float(moves.max()))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from halocline.functions import divergences, infotheory, sequences, transforms
 from halocline.operators.assign import assign, nearest
-from halocline.operators.update import cluster_sums, hard, weighted_medians
+from halocline.operators.update import cluster_sums, hard, running_medians, weighted_medians
 from halocline.operators.validate import require_valid
 from halocline.plans import bounded, estimators
 from halocline.plans.lloyd import lloyd
@@ -72,6 +72,22 @@ def test_weighted_median(spark):
     assert got == {0: 2.5, 1: 5.0}
 
 
+@pytest.mark.parametrize("parts", [2, 3, 7, 64])
+def test_medians_do_not_depend_on_ranges(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows, want = [], {}
+    for c, n in ((0, 400), (1, 1), (2, 2), (3, 37)):
+        v, w = rng.integers(0, 50, n) / 4, rng.integers(0, 3, n).astype(float)
+        w[0] = 1.0
+        rows += [(c, 0, float(a), float(b)) for a, b in zip(v, w, strict=True)]
+        u = np.unique(v)
+        upto = np.cumsum([w[v == a].sum() for a in u])
+        i = int(np.argmax(upto >= upto[-1] / 2))
+        want[c] = float((u[i] + u[i + 1]) / 2) if upto[i] == upto[-1] / 2 and i + 1 < len(u) else float(u[i])
+    values = spark.createDataFrame(rows, "cluster int, pos int, v double, w double").groupBy("cluster", "pos", "v").agg(F.sum("w").alias("w"))
+    assert {r["cluster"]: r["median"] for r in running_medians(values, parts).collect()} == want
+
+
 @pytest.mark.parametrize("make", [
     lambda: estimators.KMeans(k=3), lambda: estimators.BisectingKMeans(k=3), lambda: estimators.SoftKMeans(k=3, beta=50.0, max_iter=10),
     lambda: estimators.BalancedKMeans(k=3, max_iter=10), lambda: estimators.RobustKMeans(k=3, max_iter=5), lambda: estimators.DPMeans(lam=0.05, max_iter=5),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halocline.functions import divergences
-from halocline.operators import metrics
+from halocline.operators import graph, metrics
 from halocline.operators.assign import assign, nearest, nearest_pruned
 from halocline.operators.graph import components
 from halocline.plans import constrained, elkan, estimators, presets, sampled, sparse, summary, tabular
@@ -30,6 +30,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "i long, j long")).isEmpty()
 
 
+@pytest.mark.parametrize("parts", [1, 4, 1024])
+def test_components_with_hubs(spark, monkeypatch, parts):
+    monkeypatch.setattr(graph, "HEAVY_PARTS", parts)
+    edges = [(5, v) for v in range(10, 60)] + [(v, 900) for v in range(100, 160)] + [(159, 170), (170, 3), (60, 61)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "i long, j long")).collect()))
+    assert {v for v, c in got.items() if c == 5} == {5, *range(10, 60)}
+    assert {v for v, c in got.items() if c == 3} == {3, 170, 900, *range(100, 160)}
+    assert got[61] == 60
+
+
 LINKS = [(0, 1, "must"), (1, 45, "must"), (2, 3, "cannot"), (2, 4, "cannot"), (3, 4, "cannot"), (4, 3, "cannot"), (7, 999, "cannot")]
 
 
