@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import UserDefinedType
 
 from halocline.errors import UnknownName
 from halocline.functions.divergences import Divergence, between, to_centre
@@ -22,7 +23,7 @@ STRATEGIES = ["auto", "expression", "arrow", "accelerated", "crossJoin", "broadc
 
 def features_of(df: DataFrame, col: str) -> Column:
     """The column as array<double>: arrays are cast, ML vectors unpacked."""
-    if df.schema[col].dataType.typeName() == "vector":
+    if isinstance(df.schema[col].dataType, UserDefinedType):
         from pyspark.ml.functions import vector_to_array
 
         return vector_to_array(F.col(col))

@@ -23,3 +23,12 @@ def summary_frame(spark: SparkSession, model: CentreModel, algorithm: str, k: in
     last = float(r.distortion[-1]) if r.distortion else 0.0
     row = (algorithm, k, model.k, int(model.centres.shape[1]), points, r.iterations, r.converged, last, model.strategy, model.divergence, elapsed_ms, elapsed_ms / max(r.iterations, 1), model.k < k, at or datetime.datetime.now(), [float(v) for v in r.distortion], [float(v) for v in r.movement])
     return spark.createDataFrame([row], COLUMNS)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The row of ``summary_frame`` as JSON in ``summary.json`` in the folder of a model."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary.json")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COLUMNS).json(f"{path}/summary.json")
