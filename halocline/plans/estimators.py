@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halocline.errors import OutOfRange
 from halocline.functions import divergences
 from halocline.functions.divergences import Divergence
-from halocline.operators.assign import assign, distances, features_of, nearest
+from halocline.operators.assign import assign, distances, features_of, nearest, stack
 from halocline.operators.metrics import Quality, quality
-from halocline.operators.update import cluster_sums, hard, soft
+from halocline.operators.update import added_up, cluster_sums, hard, soft
 from halocline.operators.validate import require_valid
 from halocline.plans.lloyd import LloydResult, hashed_points, initial, lloyd
 
@@ -148,6 +150,11 @@ class BisectingKMeans(KMeans):
         return self.model(np.array(centres))
 
 
+def first_of(centres: np.ndarray | None, k: int) -> np.ndarray | None:
+    """The first ``k`` of given centres, for fits that try several k."""
+    return None if centres is None else np.asarray(centres, dtype=float)[:k]
+
+
 def _plain(e: KMeans) -> KMeans:
     return KMeans(**{f: getattr(e, f) for f in KMeans.__dataclass_fields__})
 
@@ -172,7 +179,7 @@ class XMeans(KMeans):
     def fit(self, df: DataFrame) -> CentreModel:
         n, best = df.count(), None
         for k in range(self.min_k, min(self.max_k, n) + 1):
-            m = replace(_plain(self), k=k).fit(df)
+            m = replace(_plain(self), k=k, initial_centres=first_of(self.initial_centres, k)).fit(df)
             self.scores[k] = information_score(m.compute_cost(df), n, m.k, m.centres.shape[1], self.criterion)
             if best is None or self.scores[k] < best[0]:
                 best = self.scores[k], m
@@ -480,24 +487,39 @@ class MultiViewKMeans:
         d = multiview_distances(df, self.views, self.centres, self.combine)
         return df.withColumn("_d", d).withColumn(self.prediction, (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
 
-    def fit(self, df: DataFrame) -> MultiViewKMeans:
-        columns = [features_of(df, v.features).alias(f"v{i}") for i, v in enumerate(self.views)]
-        seeds = df.select(*columns).withColumn("h", F.xxhash64(*[f"v{i}" for i in range(len(columns))], F.lit(self.seed))).orderBy("h").limit(self.k).collect()
-        self.centres = [np.array([r[f"v{i}"] for r in seeds], dtype=float) for i in range(len(self.views))]
+    def fit(self, df: DataFrame, initial_centres: list[np.ndarray] | None = None) -> MultiViewKMeans:
+        """Each round is one job: a partition adds up all views' values by cluster before anything is shuffled."""
+        self.centres = self.start(df) if initial_centres is None else [np.asarray(c, dtype=float) for c in initial_centres]
+        divs = [divergences.make(v.divergence) for v in self.views]
+        both = [d.grad is not None and d.inv_grad is not None for d in divs]
+        k, names = len(self.centres[0]), [f"v{i}" for i in range(len(self.views))]
+        cuts = np.cumsum([1] + [c.shape[1] for c in self.centres])
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = np.zeros((k, cuts[-1]))
+            for b in batches:
+                if len(b):
+                    values = [d.grad(stack(b[n])) if dual else stack(b[n]) for d, dual, n in zip(divs, both, names, strict=True)]
+                    np.add.at(held, b["c"].to_numpy(), np.column_stack([np.ones(len(b)), *values]))
+            yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "s": list(held)})
+
         for _ in range(self.max_iter):
             labelled, moved = self.transform(df), 0.0
-            for i, v in enumerate(self.views):
-                div = divergences.make(v.divergence)
-                long = labelled.select(F.col(self.prediction).alias("c"), F.posexplode(features_of(df, v.features)).alias("p", "x"))
-                value = div.grad_column(F.col("x")) if div.grad_column else F.col("x")
-                new = self.centres[i].copy()
-                table = np.full(new.shape, np.nan)
-                for r in long.groupBy("c", "p").agg(F.avg(value).alias("m")).collect():
-                    table[r["c"], r["p"]] = r["m"]
-                full = ~np.isnan(table).any(1)
-                new[full] = div.inv_grad(table[full]) if div.inv_grad and div.grad_column else table[full]
+            columns = [features_of(df, v.features).alias(n) for v, n in zip(self.views, names, strict=True)]
+            sums = added_up(labelled.select(F.col(self.prediction).alias("c"), *columns).mapInPandas(partial, "c int, s array<double>"), k)
+            if sums is None:
+                break
+            full = sums[:, 0] > 0
+            for i, d in enumerate(divs):
+                mean, new = sums[full, cuts[i] : cuts[i + 1]] / sums[full, :1], self.centres[i].copy()
+                new[full] = d.inv_grad(mean) if both[i] else mean
                 moved = max(moved, float(np.sqrt(((new - self.centres[i]) ** 2).sum(1)).max()))
                 self.centres[i] = new
             if moved < self.tol:
                 break
         return self
+
+    def start(self, df: DataFrame) -> list[np.ndarray]:
+        columns = [features_of(df, v.features).alias(f"v{i}") for i, v in enumerate(self.views)]
+        seeds = df.select(*columns).withColumn("h", F.xxhash64(*[f"v{i}" for i in range(len(columns))], F.lit(self.seed))).orderBy("h").limit(self.k).collect()
+        return [np.array([r[f"v{i}"] for r in seeds], dtype=float) for i in range(len(self.views))]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from halocline.errors import UnknownName
 from halocline.operators.metrics import inertia
 from halocline.plans import estimators
-from halocline.plans.estimators import KMeans
+from halocline.plans.estimators import KMeans, first_of
 
 #: The settings by name.
 PRESETS = {
@@ -41,10 +41,10 @@ def preset(name: str, k: int | None = None, **more) -> KMeans:
 
 
 def elbow_curve(df: DataFrame, features: str, min_k: int = 2, max_k: int = 10, base: KMeans | None = None) -> DataFrame:
-    """(k, inertia): squared distances to the clusters' means after a fit for each k."""
+    """(k, inertia): squared distances to the clusters' means after a fit for each k. Given centres are used k at a time, from the first."""
     base, rows = base or KMeans(), []
     for k in range(min_k, max_k + 1):
-        out = replace(base, k=k, features=features, initial_centres=None).fit(df).transform(df)
+        out = replace(base, k=k, features=features, initial_centres=first_of(base.initial_centres, k)).fit(df).transform(df)
         rows.append((k, float(inertia(out, features, base.prediction).first()[0] or 0.0)))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 

@@ -55,11 +55,12 @@ class CoClustering:
         key = {"r": "c", "c": "r"}[own]
         return cells.join(other, key).groupBy(own).agg(F.array(*[cost(m) for m in blocks]).alias("cost"))
 
-    def fit(self, df: DataFrame) -> CoClustering:
+    def fit(self, df: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None) -> CoClustering:
+        """``rows`` (r, rc) and ``cols`` (c, cc): clusters to start from; every index of ``df`` must be there."""
         cells = df.select(F.col(self.row).cast("long").alias("r"), F.col(self.col).cast("long").alias("c"), F.col(self.value).cast("double").alias("v"))
         first = lambda x, k: F.pmod(F.xxhash64(x, F.lit(self.seed)), F.lit(k)).cast("int")
-        self.rows = cut(cells.select("r").distinct().withColumn("rc", first("r", self.row_clusters)))
-        self.cols = cut(cells.select("c").distinct().withColumn("cc", first("c", self.col_clusters)))
+        self.rows = cut(cells.select("r").distinct().withColumn("rc", first("r", self.row_clusters)) if rows is None else rows)
+        self.cols = cut(cells.select("c").distinct().withColumn("cc", first("c", self.col_clusters)) if cols is None else cols)
         self.objective = []
         for _ in range(self.max_iter):
             self.blocks = self.block_means(cells, self.rows, self.cols)
@@ -68,9 +69,9 @@ class CoClustering:
             if len(self.objective) > 1 and abs(self.objective[-2] - self.objective[-1]) < self.tolerance:
                 break
             best = (F.array_position("cost", F.array_min("cost")) - 1).cast("int")
-            rows = costs.select("r", best.alias("rc"))
+            moved = costs.select("r", best.alias("rc"))
             self.cols = cut(self.move(cells, "c", self.rows, "rc", self.blocks.T).select("c", best.alias("cc")))
-            self.rows = cut(rows)
+            self.rows = cut(moved)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -73,6 +73,8 @@ GRADS = {"se": ("v", "m"), "kl": (f"ln(v + {E}) + 1", "exp(m - 1)"), "is": (f"-1
 
 
 def d_sql(kind: str, x: str = "x", c: str = "c") -> str:
+    if kind == "views":  # the first half by squared Euclidean distance, the second by KL at half the weight
+        return f"({d_sql('se', f'{x}[1:32]', f'{c}[1:32]')} * (1 / 1.5::double) + {d_sql('kl', f'{x}[33:64]', f'{c}[33:64]')} * (0.5::double / 1.5::double))"
     if kind == "spherical":
         return f"1 - greatest(-1, least(1, list_cosine_similarity({x}, {c})))"
     return f"list_sum(list_transform(list_zip({x}, {c}), lambda z: {TERMS[kind]}))"
@@ -400,7 +402,6 @@ def _fit(name: str, make: Callable[[], estimators.KMeans], source: Callable = po
 
 for _name, _make in {
     "bisecting": lambda: estimators.BisectingKMeans(k=4),
-    "xmeans": lambda: estimators.XMeans(max_k=4, max_iter=5),
     "minibatch": lambda: estimators.MiniBatchKMeans(k=4, max_iter=8),
     "coreset": lambda: estimators.CoresetKMeans(k=4, coreset_size=100, max_iter=5),
 }.items():
@@ -421,6 +422,12 @@ def near_predictions(kind: str, centres: str) -> str:
     return f"SELECT cluster AS prediction FROM ({near_sql(kind, centres=centres)})"
 
 
+def sizes_and_sums(spark: SparkSession, centres: np.ndarray, labelled: DataFrame) -> DataFrame:
+    sizes = labelled.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    sums = spark.createDataFrame([(i, float(c.sum())) for i, c in enumerate(centres)], "cluster int, s double")
+    return sums.join(sizes, "cluster", "left").select("cluster", F.round("s", 5).alias("centre_sum"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def _fitted(name: str, sql: str, make: Callable[[DataFrame], estimators.KMeans]) -> None:
     """From the points of the first ids, for a fixed number of rounds: each cluster's size and the sum of its centre."""
 
@@ -428,9 +435,7 @@ def _fitted(name: str, sql: str, make: Callable[[DataFrame], estimators.KMeans])
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = points(spark, sf_dir)
         model = make(p).fit(p)
-        sizes = model.transform(p).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
-        centres = spark.createDataFrame([(i, float(c.sum())) for i, c in enumerate(model.centres)], "cluster int, s double")
-        return centres.join(sizes, "cluster", "left").select("cluster", F.round("s", 5).alias("centre_sum"), F.coalesce("n", F.lit(0)).alias("n"))
+        return sizes_and_sums(spark, model.centres, model.transform(p))
 
 
 def _first(k: int) -> Callable[[DataFrame], np.ndarray]:
@@ -492,11 +497,34 @@ for _i in range(3):  # three furthest points, all further than lam, then two upd
 _fitted("dpmeans", fitted_sql([*_dp, *lloyd_steps("se", 3, 2)], near_predictions("se", "c5"), "c5"), lambda p: estimators.DPMeans(lam=0.02, max_k=4, max_iter=1, tol=0.0, initial_centres=_first(1)(p)))
 
 
-@query("fit_multiview")
+_views = [POINTS, first_sql(4)]
+for _i in range(3):
+    _views.append(f"a{_i} AS ({near_sql('views', centres=f'c{_i}')}), {means_sql(_i, f'SELECT cluster AS cid, x FROM a{_i}', f'CASE WHEN pos <= 32 THEN avg(v) ELSE exp(avg(ln(v + {E}) + 1) - 1) END')}")
+
+
+@query("fit_multiview", fitted_sql(_views, near_predictions("views", "c3"), "c3"))
 def fit_multiview(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumns({"left": F.slice("features", 1, 32), "right": F.slice("features", 33, 32)})
-    m = estimators.MultiViewKMeans([estimators.View("left"), estimators.View("right", 0.5, "kl")], k=4, max_iter=4).fit(p)
-    return m.transform(p).groupBy("prediction").agg(F.count("*").alias("n"))
+    c = first_points(p, "features", 4, "vec_id")
+    m = estimators.MultiViewKMeans([estimators.View("left"), estimators.View("right", 0.5, "kl")], k=4, max_iter=3, tol=0.0).fit(p, [c[:, :32], c[:, 32:]])
+    return sizes_and_sums(spark, np.hstack(m.centres), m.transform(p))
+
+
+def per_k(name: str, value: str, low: int = 2, high: int = 4) -> str:
+    """A row for each k: ``value`` over z (vec_id, x, cluster, d) after three rounds from the first k points."""
+    each = [f"SELECT {k} AS k, (WITH {', '.join([POINTS, first_sql(k), *lloyd_steps('se', 0, 3)])}, z AS ({near_sql('se', centres='c3')}) {value.replace('$k', str(k))}) AS {name}" for k in range(low, high + 1)]
+    return " UNION ALL ".join(each)
+
+
+BIC = "SELECT -2 * (-cost / (2 * v) - n * ln(sqrt(v)) - n * ln(2 * pi()) / 2) + ($k * 64 + 1) * ln(n) FROM (SELECT cost, n, greatest(cost / n, 1e-10) AS v FROM (SELECT sum(d) AS cost, count(*) AS n FROM z))"
+
+
+@query("fit_xmeans", f"WITH s AS ({per_k('score', BIC)}) SELECT k::int AS k, round(score, 4) AS score, score = (SELECT min(score) FROM s) AS chosen FROM s")
+def fit_xmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    e = estimators.XMeans(max_k=4, initial_centres=_first(4)(p), empty="keep", **_fixed)
+    chosen = e.fit(p).k
+    return spark.createDataFrame([(k, v, k == chosen) for k, v in e.scores.items()], "k int, score double, chosen boolean").withColumn("score", F.round("score", 4))
 
 
 def _bounded(name: str, make: Callable) -> None:
@@ -582,9 +610,20 @@ def _constrained(mode: str) -> None:
 for _name in ("soft", "hard"):
     _constrained(_name)
 
-SPARSE = f"{POINTS}, {first_sql(5)}, s AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0.05 THEN v::double ELSE 0 END) AS x FROM embeddings)"
+LARGER = "AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0.05 THEN v::double ELSE 0 END) AS x FROM embeddings)"
+SPARSE = f"{POINTS}, {first_sql(5)}, s {LARGER}"
 _p, _q = f"greatest(z[1], {E})", f"greatest(z[2], {E})"
 TERMS["sparse_kl"] = f"{_p} * ln({_p} / {_q}) - {_p} + {_q}"
+#: How a component of a centre follows from those of its rows.
+SPARSE_MEANS = {"kl": f"exp(avg(ln(greatest(v, {E})) + 1) - 1)", "l1": "median(v)"}
+
+
+def sparse_fit_sql(kind: str, term: str) -> str:
+    unit = "list_transform(x, lambda v: v / sqrt(list_dot_product(x, x)))" if kind == "spherical" else "x"
+    out = [f"p {LARGER}", first_sql(4)]
+    for i in range(3):
+        out.append(f"a{i} AS ({near_sql(term, centres=f'c{i}')}), {means_sql(i, f'SELECT cluster AS cid, {unit} AS x FROM a{i}', SPARSE_MEANS.get(kind, 'avg(v)'))}")
+    return fitted_sql(out, near_predictions(term, "c3"), "c3")
 
 
 def sparse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,10 +639,11 @@ def _sparse(kind: str, sql: str) -> None:
         out = sparse.assign_sparse(sparse_points(spark, sf_dir), "features", c, sparse.make(kind), distance="distance")
         return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))
 
-    @query(f"fit_sparse_{kind}")
+    @query(f"fit_sparse_{kind}", sparse_fit_sql(kind, sql))
     def fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = sparse_points(spark, sf_dir)
-        return sparse.SparseKMeans(k=4, divergence=kind, mode="force", max_iter=4).fit(df).transform(df).groupBy("prediction").agg(F.count("*").alias("n"))
+        m = sparse.SparseKMeans(k=4, divergence=kind, mode="force", initial_centres=_first(4)(df), **_fixed).fit(df)
+        return sizes_and_sums(spark, m.summary.centres, m.transform(df))
 
 
 for _name, _sql in {"se": "se", "kl": "sparse_kl", "l1": "l1", "spherical": "spherical"}.items():
@@ -633,10 +673,23 @@ def cocluster_row_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.select("r", F.posexplode("cost").alias("cluster", "cost")).withColumn("cost", F.round("cost", 4))
 
 
-@query("fit_cocluster")
+def cocluster_sql(rounds: int) -> str:
+    """Rows r{i} (r, rc) and columns k{i} (c, cc) after i rounds; both sides move with the same block means."""
+    out = ["v AS (SELECT l_partkey AS r, l_suppkey AS c, l_quantity::double AS v FROM lineitem), r0 AS (SELECT DISTINCT r, (r % 3)::int AS rc FROM v), k0 AS (SELECT DISTINCT c, (c % 2)::int AS cc FROM v)"]
+    for i in range(rounds):
+        out.append(f"b{i} AS (SELECT rc, cc, coalesce(m, 0.01::double) AS m FROM (SELECT x::int AS rc, y::int AS cc FROM range(3) t(x), range(2) u(y)) LEFT JOIN (SELECT rc, cc, avg(v) AS m FROM v JOIN r{i} USING (r) JOIN k{i} USING (c) GROUP BY rc, cc) USING (rc, cc))")
+        for side, to, other, key, at in (("r", "rc", "k", "c", "cc"), ("c", "cc", "r", "r", "rc")):
+            cost = f"SELECT v.{side}, b{i}.{to}, sum(0.5::double * (v - m) * (v - m)) AS cost FROM v JOIN {other}{i} USING ({key}) JOIN b{i} USING ({at}) GROUP BY v.{side}, b{i}.{to}"
+            out.append(f"{'r' if side == 'r' else 'k'}{i + 1} AS (SELECT {side}, arg_min({to}, (cost, {to})) AS {to} FROM ({cost}) GROUP BY {side})")
+    return f"WITH {', '.join(out)} SELECT 'row' AS side, rc AS cluster, count(*) AS n FROM r{rounds} GROUP BY rc UNION ALL SELECT 'column', cc, count(*) FROM k{rounds} GROUP BY cc"
+
+
+@query("fit_cocluster", cocluster_sql(3))
 def fit_cocluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tabular.CoClustering(3, 2, "r", "c", "v", max_iter=4).fit(cells(spark, sf_dir)[0])
-    return m.rows.groupBy(F.col("rc").alias("row_cluster")).agg(F.count("*").alias("n"))
+    v, rows, cols = cells(spark, sf_dir)
+    m = tabular.CoClustering(3, 2, "r", "c", "v", max_iter=3, tolerance=0.0).fit(v, rows, cols)
+    sides = m.rows.select(F.lit("row").alias("side"), F.col("rc").alias("cluster")).union(m.cols.select(F.lit("column"), "cc"))
+    return sides.groupBy("side", "cluster").agg(F.count("*").alias("n"))
 
 
 @query("fit_information_bottleneck")
@@ -677,9 +730,14 @@ def effective_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.effective_clusters(m.transform(p), "probabilities").select(F.round("effective_clusters", 6).alias("effective_clusters"))
 
 
-@query("elbow_curve")
+INERTIA = f"SELECT sum(2 * {d_sql('se', 'z.x', 'm.c')}) FROM z JOIN (SELECT cluster, list(v ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(v) AS v FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM z) GROUP BY cluster, pos) GROUP BY cluster) m USING (cluster)"
+
+
+@query("elbow_curve", f"SELECT k::int AS k, round(inertia, 5) AS inertia FROM ({per_k('inertia', INERTIA)})")
 def elbow_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presets.elbow_curve(points(spark, sf_dir), "features", 2, 4, presets.preset("fast", init_mode="random"))
+    p = points(spark, sf_dir)
+    base = estimators.KMeans(initial_centres=_first(4)(p), empty="keep", **_fixed)
+    return presets.elbow_curve(p, "features", 2, 4, base).withColumn("inertia", F.round("inertia", 5))
 
 
 @query("vector_algebra", f"""WITH {POINTS}, s AS (SELECT vec_id, list_sum(x) AS total, list_sum(list_transform(x, lambda v: v * v)) AS sq, list_max(x) AS largest, x FROM p)
