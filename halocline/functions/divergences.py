@@ -115,6 +115,20 @@ class Traits:
     product_form: bool
     #: Transform that moves data into the domain, by its name in ``transforms``.
     transform: str
+    #: Fewer centres than this are small enough to travel with the plan.
+    broadcast_below: int
+    #: Unit vectors turn it into squared Euclidean distance.
+    wants_unit: bool
+
+    def assignment(self, k: int) -> str:
+        """A strategy of ``operators.assign`` for ``k`` centres."""
+        if self.name == "squaredEuclidean" and k >= 5:
+            return "accelerated"
+        return "crossJoin" if (self.product_form or self.wants_unit) and k < self.broadcast_below else "adaptive"
+
+
+#: Centres that are few, by divergence; 500 for the others.
+BROADCAST_BELOW = {"squaredEuclidean": 1000, "spherical": 1000, "l1": 800}
 
 
 def traits(name: str) -> Traits:
@@ -125,6 +139,8 @@ def traits(name: str) -> Traits:
         key in ("kl", "generalizedI", "itakuraSaito", "logistic"),
         key == "squaredEuclidean",
         {"kl": "kl", "generalizedI": "kl", "itakuraSaito": "epsilon_shift", "spherical": "spherical"}.get(key, "identity"),
+        BROADCAST_BELOW.get(key, 500),
+        key == "spherical",
     )
 
 

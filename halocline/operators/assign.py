@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -12,13 +13,31 @@ from pyspark.sql.types import UserDefinedType
 
 from halocline.errors import UnknownName
 from halocline.functions.divergences import Divergence, between, to_centre
+from halocline.telemetry import emit
 
 #: Up to this many centre coordinates, distances are unrolled into generated code; above, Arrow batches and NumPy.
 UNROLLED = 120
 #: Centre rows that meet one Arrow batch at a time.
 CHUNK = 1024
+#: Chunks of the strategy ``chunked``; least and largest chunk of ``adaptive``, and the share of memory it takes;
+#: centre coordinates above which sending them whole is worth a warning (about 100 MB).
+CHUNKED, ADAPTIVE_LEAST, ADAPTIVE_MOST, MEMORY_SHARE, WARN_ABOVE = 100, 10, 1000, 0.1, 12_500_000
 
-STRATEGIES = ["auto", "expression", "arrow", "accelerated", "crossJoin", "broadcast", "broadcastUDF", "chunked"]
+STRATEGIES = ["auto", "expression", "arrow", "accelerated", "crossJoin", "broadcast", "broadcastUDF", "chunked", "adaptive"]
+
+
+def memory_bytes(text: str) -> int:
+    """A size as Spark's settings write it: a number, or one with a unit from b to t; bare numbers are MB."""
+    text = text.strip().lower().removesuffix("b") or "0"
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(text[:-1]) * unit[text[-1]] if text[-1] in unit else int(text) << 20
+
+
+def adaptive_chunk(df: DataFrame, dim: int) -> int:
+    """Centres that fit a tenth of an executor's unified memory, twice over."""
+    conf = df.sparkSession.sparkContext.getConf()
+    free = memory_bytes(conf.get("spark.executor.memory", "1g")) * float(conf.get("spark.memory.fraction", "0.6")) * MEMORY_SHARE
+    return int(min(max(free // (8 * dim * 2), ADAPTIVE_LEAST), ADAPTIVE_MOST))
 
 
 def features_of(df: DataFrame, col: str) -> Column:
@@ -79,11 +98,15 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
     """``df`` with the nearest centre's number and, if named, the distance.
 
     Strategies: ``expression`` (unrolled, generated code), ``arrow`` (NumPy over Arrow batches, centres in chunks),
-    ``accelerated`` (arrow, with centres skipped by the triangle inequality), ``crossJoin`` (a broadcast row of all centres, the least within each row), ``auto``.
+    ``accelerated`` (arrow, with centres skipped by the triangle inequality), ``crossJoin`` (a broadcast row of all centres, the least within each row),
+    ``broadcast`` (arrow; warns of very many centres), ``chunked`` and ``adaptive`` (arrow, in chunks of a fixed size or one that fits the executors' memory), ``auto`` (expression or arrow).
     """
     k, d = centres.shape
     x = features_of(df, features)
-    if strategy in ("auto", "broadcast", "broadcastUDF", "chunked"):
+    chunk = {"chunked": CHUNKED, "adaptive": adaptive_chunk(df, d) if strategy == "adaptive" else 0}.get(strategy, CHUNK)
+    if strategy in ("broadcast", "broadcastUDF") and k * d > WARN_ABOVE:
+        emit("warning", message=f"{k} centres of {d} dimensions travel with every task")
+    if strategy in ("auto", "broadcast", "broadcastUDF", "chunked", "adaptive"):
         strategy = "expression" if k * d <= UNROLLED and strategy == "auto" else "arrow"
     if strategy == "expression":
         out = df.withColumn("__all", distances(df, features, centres, div)).withColumn("__least", F.array_min("__all"))
@@ -93,7 +116,7 @@ def assign(df: DataFrame, features: str, centres: np.ndarray, div: Divergence, s
     if strategy == "accelerated" and div.name != "squaredEuclidean":
         raise ValueError("the accelerated strategy needs squared Euclidean distance")
     if strategy in ("arrow", "accelerated"):
-        search = nearest if strategy == "arrow" else nearest_pruned
+        search = partial(nearest, chunk=chunk) if strategy == "arrow" else nearest_pruned
 
         @F.pandas_udf("struct<c:int,d:double>")
         def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

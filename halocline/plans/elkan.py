@@ -20,6 +20,8 @@ from halocline.operators.graph import cut
 from halocline.operators.update import added_up
 from halocline.plans.lloyd import LloydResult
 
+#: Clusters from which on the bounds can spare distances.
+BOUNDED_FROM = 5
 STATE = "x array<double>, w double, c int, upper double, lower double"
 
 

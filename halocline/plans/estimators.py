@@ -18,6 +18,7 @@ from halocline.operators.assign import assign, distances, features_of, nearest,
 from halocline.operators.metrics import Quality, quality
 from halocline.operators.update import added_up, cluster_sums, hard, soft
 from halocline.operators.validate import require_valid
+from halocline.plans.elkan import BOUNDED_FROM, bounded_lloyd
 from halocline.plans.lloyd import LloydResult, hashed_points, initial, lloyd
 
 
@@ -78,6 +79,8 @@ class KMeans:
     centroid: str = "dual"
     empty: str = "reseed"
     validate: bool = True
+    #: Bounds by the triangle inequality, where they give the same result: squared Euclidean, five clusters or more, ``empty="keep"``.
+    accelerate: bool = False
 
     def __post_init__(self) -> None:
         for name, least in (("k", 1), ("max_iter", 0), ("tol", 0), ("init_steps", 0), ("n_init", 1), ("smoothing", 0)):
@@ -101,7 +104,12 @@ class KMeans:
             require_valid(df, self.features, self.div, self.weight)
         best = None
         for run in range(self.n_init):
-            r = lloyd(df, self.features, self.start(df, self.seed + run), self.div, self.max_iter, self.tol, self.weight, self.centroid, self.empty)
+            start = self.start(df, self.seed + run)
+            if self.accelerate and self.empty == "keep" and self.div.name == "squaredEuclidean" and self.k >= BOUNDED_FROM:
+                r = bounded_lloyd(df, self.features, start, self.max_iter, self.tol, self.weight)
+                r.distortion.append(self.model(r.centres).compute_cost(df, self.weight))
+            else:
+                r = lloyd(df, self.features, start, self.div, self.max_iter, self.tol, self.weight, self.centroid, self.empty)
             if best is None or r.distortion[-1:] < best.distortion[-1:]:
                 best = r
         return self.model(best.centres, best)
