@@ -4,8 +4,8 @@ Patterns (kinds ``assign``, ``access``, ``hex``) find what looks like a secret b
 finds long runs of encoding letters whose letters look drawn at random. For each run the narrowest alphabet that holds it
 is inferred (ALPHABETS), and the run is scored by the logarithm of a likelihood ratio: letters drawn at random from that
 alphabet, against a null of ordinary runs. The null is measured on the table's own short runs (under 20 letters, which are
-never tested; a sample of about SAMPLE_DOCS rows, on top of fixed priors): pairs of neighbouring letters, and how often
-runs change between lower case, upper case, digits and signs. To the score are added the logarithms of the p-values with
+never tested; those of every row, on top of fixed priors): pairs of neighbouring letters, and how often runs change
+between lower case, upper case, digits and signs. To the score are added the logarithms of the p-values with
 which the run passes for random: chi-squared uniformity in its alphabet, the runs test (upper against lower half of the
 alphabet) and the lag-one serial correlation. Under the null the chance of a likelihood ratio of e^s or more is e^-s at
 most, so e^-score (times the number of alphabets) is the run's p-value. p-values are then held to a false-discovery rate
@@ -43,11 +43,10 @@ LENGTH_CLASSES = 12
 #: p-values are binned on a log scale, P_STEP natural-log units a bin.
 P_BINS, P_STEP = 120, 0.25
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"
-SAMPLE_DOCS = 2000
 SHORT_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{2,19}(?![A-Za-z0-9+/_-])"
 #: Chance of the next letter's class (lower case, upper case, digit, sign) after each class: half of the null.
 CLASS_PRIOR = ((0.93, 0.02, 0.02, 0.03), (0.30, 0.60, 0.05, 0.05), (0.08, 0.07, 0.70, 0.15), (0.40, 0.20, 0.30, 0.10))
-#: Common words, counted before the sample; and the share of letter pairs that is uniform, whatever was counted.
+#: Common words, counted on top of the table's; and the share of letter pairs that is uniform, whatever was counted.
 PRIOR_WORDS = "the and that for with from this have not are was you user name file data value order status item index time number password account service request response message content version config default system error text list type state customer product address country region price quantity description available international der die und den das nicht mit von ist ein eine les des une que pour dans est los las para con por una como".split()
 ANY_PAIR = 0.05
 #: Narrowest first; the last holds every run.
@@ -140,13 +139,12 @@ def null_costs(pairs: dict[str, int]) -> list[float]:
     return out
 
 
-def measured_null(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
-    """``null_costs`` of the short runs of about SAMPLE_DOCS rows (or all, if fewer)."""
-    n = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("secret null")), F.lit(1 << 30))
-    sample = docs.where(draw < int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30)))
-    words = sample.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(SHORT_RUN), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = words.select(F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+def measured_null(docs: DataFrame, text_col: str) -> list[float]:
+    """``null_costs`` of the short runs of all rows."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(SHORT_RUN), F.lit(0))).alias("w"))
+    # Exploded by place, not by an array of pairs, and counted before the shuffle: len(SYMBOLS)^2 rows a task at most.
+    places = words.select("w", F.explode(F.expr("sequence(1, length(w) - 1)")).alias("i"))
+    pairs = places.groupBy(F.expr("substr(w, i, 2)").alias("pair")).agg(F.count("*").alias("n"))
     return null_costs({r["pair"]: r["n"] for r in pairs.collect()})  # len(SYMBOLS)^2 rows at most
 
 
@@ -222,7 +220,7 @@ def _log_p(z: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """id, base (spans of the patterns), random (spans of the battery): sorted arrays of struct(start, rank, end)."""
-    costs = measured_null(docs, id_col, text_col)
+    costs = measured_null(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, "assign", 1), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
     runs = F.zip_with(

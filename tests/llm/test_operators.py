@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empties, long texts, copies and clashing columns."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -291,6 +292,15 @@ def test_secrets(spark, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_null_counts_every_row(spark, monkeypatch):
+    body = [None, "", "\u00e9", "a b", "x" * 20, f"{'y' * 19}\u00e9zz"] + [f"{EN} w{i:x}-{i % 97} {'Q' * 25}\t{i * i}+/_" for i in range(4000)]
+    want = collections.Counter(w[k : k + 2] for t in body for w in re.findall("[A-Za-z0-9+/_-]+", t or "") if len(w) < 20 for k in range(len(w) - 1))
+    seen, costs = [], secrets.null_costs
+    monkeypatch.setattr(secrets, "null_costs", lambda pairs: costs(seen.append(pairs) or pairs))
+    secrets.scan(spark.createDataFrame(list(enumerate(body)), "doc_id long, text string"))
+    assert seen == [want]
+
+
 def test_language(docs, none):
     profiles = langid.learn_profiles(docs)
     assert profiles.langs == ["de", "en"]
