@@ -88,6 +88,23 @@ def test_medians_do_not_depend_on_ranges(spark, parts):
     assert {r["cluster"]: r["median"] for r in running_medians(values, parts).collect()} == want
 
 
+def test_medians_if_quantiles_differ_from_run_to_run(spark, monkeypatch):
+    def cuts(v, shares, accuracy):
+        import random
+
+        anew = F.udf(lambda low, high: sorted(random.uniform(low, high) for _ in range(5)), "array<double>").asNondeterministic()
+        return anew(F.min(v), F.max(v))
+
+    monkeypatch.setattr(F, "percentile_approx", cuts)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    df = spark.range(0, 3000, 1, 4).select((F.col("id") % 3).cast("int").alias("c"), F.array([F.pmod(F.xxhash64("id", F.lit(p)), F.lit(9973)) / 9973 for p in range(4)]).alias("x"))
+    got = {(r["cluster"], r["pos"]): r["median"] for r in weighted_medians(df, "x", "c").collect()}
+    spark.conf.unset("spark.sql.exchange.reuse")
+    for c in range(3):
+        x = np.array([r["x"] for r in df.where(F.col("c") == c).collect()])
+        assert [got.get((c, p)) for p in range(4)] == pytest.approx(np.median(x, axis=0))
+
+
 @pytest.mark.parametrize("make", [
     lambda: estimators.KMeans(k=3), lambda: estimators.BisectingKMeans(k=3), lambda: estimators.SoftKMeans(k=3, beta=50.0, max_iter=10),
     lambda: estimators.BalancedKMeans(k=3, max_iter=10), lambda: estimators.RobustKMeans(k=3, max_iter=5), lambda: estimators.DPMeans(lam=0.05, max_iter=5),
