@@ -1,6 +1,9 @@
 """Constrained, sparse, co-clustered, sampled and bound-based plans against brute force and dense forms."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +91,15 @@ def test_sparse_matches_dense(spark, blobs, name):
         assert np.allclose(m.summary.centres, dense.centres) and np.allclose(m.summary.distortion, dense.distortion)
 
 
+def test_stored_values_come_from_buffers():
+    rows = pa.array([[(i, 0.5 * i + r) for i in range(20)] for r in range(2000)], pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())])))
+    tracemalloc.start()
+    at, i, v = sparse._flat(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * len(v) and at[:21].tolist() == [0] * 20 + [1] and i[20:23].tolist() == [0, 1, 2] and v[20:23].tolist() == [1.0, 1.5, 2.0]
+
+
 def test_bounds_change_nothing(blobs):
     x, df = blobs
     start, div = x[[0, 10, 50, 100, 119]], divergences.make("se")
