@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.functions import mercer
+from halocline.functions import divergences, mercer
 from halocline.operators import metrics, pairs
+from halocline.plans import bounded
+from tests.test_support import brute_merges
 
 
 @pytest.fixture
@@ -69,3 +71,18 @@ def test_laplacian_holds_no_cube():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 6 * k.nbytes and k[3, 5] == pytest.approx(np.exp(-0.5 * np.abs(x[3] - x[5]).sum()))
+
+
+@pytest.mark.parametrize("linkage", ["average", "ward", "centroid"])
+def test_merges_of_copies_without_a_matrix(linkage):
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.integers(0, 64, (9, 3)) / 64, [1, 2, 3, 4, 5, 1, 1, 4, 3], axis=0)[rng.permutation(24)]
+    labels, got = bounded.agglomerate(x, linkage, divergences.make("se"))
+    want = brute_merges(x, linkage, divergences.make("se"))
+    assert [m[:3] for m in got[:15]] == [m[:3] for m in want[:15]] and np.allclose([m[3] for m in got], [m[3] for m in want])
+    big = rng.uniform(0, 1, (6000, 2))
+    tracemalloc.start()
+    labels, got = bounded.agglomerate(big, linkage, divergences.make("se"), clusters=5900)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 100 and len(set(labels)) == 5900 and most < 40e6
