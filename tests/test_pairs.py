@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from halocline.functions import divergences, mercer
 from halocline.operators import metrics, pairs
-from halocline.plans import bounded
+from halocline.plans import bounded, sampled
 from tests.test_support import brute_merges
 
 
@@ -86,3 +86,59 @@ def test_merges_of_copies_without_a_matrix(linkage):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(got) == 100 and len(set(labels)) == 5900 and most < 40e6
+
+
+@pytest.fixture
+def small_steps(monkeypatch):
+    """Rows are dealt over the executors from 10 on; the old driver-side forms stand by."""
+    monkeypatch.setattr(bounded, "LOCAL_ROWS", 10)
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    x = np.random.default_rng(8).uniform(0, 1, (150, 3))
+    x = np.vstack([x, x[:30], x[:10]])
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+
+
+def labels_of(out):
+    return [r["prediction"] for r in out.orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_medoids_without_a_matrix(small_steps, crowd, metric):
+    x, df = crowd
+    d = bounded.pairwise(x, metric)
+    want = bounded.swap_medoids(d, bounded.build_medoids(d, 4))
+    m = bounded.KMedoids(k=4, metric=metric)
+    assert labels_of(m.fit_transform(df, "features", "id")) == d[want].argmin(0).tolist() and m.medoids.tolist() == want
+
+
+def test_kernel_labels_without_a_matrix(small_steps, crowd):
+    x, df = crowd
+    gram, labels = mercer.gram(x, x, "rbf", 2.0), np.random.default_rng(0).integers(0, 3, len(x))
+    for _ in range(20):
+        one = np.eye(3)[labels]
+        d = 1 - 2 * gram @ one / one.sum(0) + np.einsum("ic,ij,jc->c", one, gram, one) / one.sum(0) ** 2
+        changed, labels = (d.argmin(1) != labels).mean(), d.argmin(1)
+        if changed < 1e-4:
+            break
+    assert labels_of(bounded.KernelKMeans(k=3, gamma=2.0).fit_transform(df, "features", "id")) == labels.tolist()
+
+
+def test_no_limit_of_rows(spark):
+    df = spark.range(10_050).select("id", F.array(F.pmod(F.xxhash64("id"), F.lit(40)) / 40).alias("features"))
+    for m in (bounded.KMedoids(k=2), bounded.KernelKMeans(k=2)):
+        assert m.fit_transform(df, "features", "id").count() == 10_050
+
+
+def test_hard_sizes_above_the_old_limit(spark):
+    d = np.random.default_rng(4).uniform(0, 1, (60, 4)).round(1)
+    room, want = np.full(4, 16), np.zeros(60, dtype=int)
+    for i in np.argsort(d.min(1), kind="stable"):
+        want[i] = next(c for c in np.argsort(d, axis=1, kind="stable")[i] if room[c] > 0)
+        room[want[i]] -= 1
+    assert sampled.fill_capacities(d, 0, 16).tolist() == want.tolist()
+    df = spark.range(10_050).select("id", F.array(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("features"))
+    sizes = sampled.HardBalancedKMeans(k=3, max_iter=3).fit_transform(df, "features", "id").groupBy("prediction").count().collect()
+    assert sum(r["count"] for r in sizes) == 10_050 and max(r["count"] for r in sizes) <= 3685
