@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from halocline.functions import divergences, mercer
+from halocline.functions import divergences, mercer, sequences
 from halocline.operators import metrics, pairs
 from halocline.plans import bounded, sampled
 from tests.test_support import brute_merges
@@ -142,3 +142,28 @@ def test_hard_sizes_above_the_old_limit(spark):
     df = spark.range(10_050).select("id", F.array(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("features"))
     sizes = sampled.HardBalancedKMeans(k=3, max_iter=3).fit_transform(df, "features", "id").groupBy("prediction").count().collect()
     assert sum(r["count"] for r in sizes) == 10_050 and max(r["count"] for r in sizes) <= 3685
+
+
+def test_series_without_a_matrix(small_steps, spark):
+    rng = np.random.default_rng(6)
+    x = [rng.uniform(0, 1, n) + (i % 3) for i, n in enumerate(rng.integers(2, 5, 40))]
+    x += x[:8]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    d = np.array([[sequences.dtw(a, b) for b in x] for a in x])
+    assert np.array_equal(sequences.cross("dtw", x, sequences.by_length(x)), d)
+    assert np.allclose(sequences.cross("derivative", x, sequences.by_length(x), 1), [[sequences.distance("derivative", a, b, 1) for b in x] for a in x])
+    sums, n = np.zeros(3), np.zeros(3)
+    for s in x:
+        for i, j in sequences.dtw_path(np.array([0.5, 1.0, 2.0]), s)[1]:
+            sums[i] += s[j]
+            n[i] += 1
+    got = sequences.aligned(np.array([0.5, 1.0, 2.0]), x, np.ones(len(x)))
+    assert np.allclose(got[0], sums) and np.array_equal(got[1], n)
+    labels, centres = None, [x[i] for i in bounded.build_medoids(d, 3)]
+    for _ in range(20):
+        new = np.array([[sequences.dtw(a, c) for c in centres] for a in x]).argmin(1)
+        if labels is not None and np.array_equal(new, labels):
+            break
+        labels = new
+        centres = [sequences.barycentre([s for s, l in zip(x, labels, strict=True) if l == c]) for c in range(3)]
+    assert labels_of(bounded.TimeSeriesKMeans(k=3).fit_transform(df, "features", "id")) == labels.tolist()
