@@ -167,3 +167,16 @@ def test_series_without_a_matrix(small_steps, spark):
         labels = new
         centres = [sequences.barycentre([s for s, l in zip(x, labels, strict=True) if l == c]) for c in range(3)]
     assert labels_of(bounded.TimeSeriesKMeans(k=3).fit_transform(df, "features", "id")) == labels.tolist()
+
+
+@pytest.mark.parametrize("affinity", ["full", "knn", "epsilon"])
+@pytest.mark.parametrize("kind", ["symmetric", "randomWalk", "unnormalized"])
+def test_spectral_without_a_matrix(small_steps, crowd, monkeypatch, affinity, kind):
+    x, df = crowd
+    make = lambda: bounded.SpectralClustering(k=3, gamma=8.0, affinity=affinity, neighbours=12, epsilon=0.6, laplacian=kind)
+    whole, parts = make(), make()
+    want = labels_of(whole.fit_transform(df, "features", "id"))
+    monkeypatch.setattr(bounded, "DENSE_ROWS", 10)
+    got = labels_of(parts.fit_transform(df, "features", "id"))
+    span = whole.embedding @ np.linalg.lstsq(whole.embedding, parts.embedding, rcond=None)[0]
+    assert np.abs(span - parts.embedding).max() < 1e-6 and len(set(zip(got, want, strict=True))) == len(set(want))
