@@ -73,6 +73,17 @@ def test_penalty_forms(spark):
     assert grown == pytest.approx([0.0, np.exp(2.5) - 1, np.exp(1.0) - 1])
 
 
+def test_constrained_loops_broadcast_nothing(spark, blobs, monkeypatch):
+    plans = []
+    cut = constrained.cut
+    monkeypatch.setattr(constrained, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    x, df = blobs
+    c = spark.createDataFrame(LINKS, "i long, j long, kind string")
+    e = constrained.ConstrainedKMeans(k=3, initial_centres=x[[0, 50, 100]], max_iter=1)
+    plans.append(e.labels(e.fit(df, c), df, c)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 @pytest.mark.parametrize("name", ["se", "kl", "l1", "spherical"])
 def test_sparse_matches_dense(spark, blobs, name):
     x = blobs[0] * (blobs[0] > 0.5)
